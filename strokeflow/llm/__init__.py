@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, language_id, mixing, packing, sharding, toxicity
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import chat, mixing
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": language_id.op2_language_id,
+        "op3_sharding": sharding.op3_sharding,
+        "op4_packing": packing.op4_packing,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_mixing": mixing.op6_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, mixing
-
     return {"op5_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE.format(docs="documents")}

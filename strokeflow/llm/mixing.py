@@ -18,7 +18,7 @@ from .storage import materialize, table
 #: Words, as the contracts of this subpackage define them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a range of the shuffled order holds on average.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 
 
 def word_count(text: Column) -> Column:
