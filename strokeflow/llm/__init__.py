@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_extract, language_id, mixing, ngram_join, packing, sharding, toxicity
+from . import chat, html_extract, language_id, mixing, ngram_join, packing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_mixing": mixing.op6_mixing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_html_extraction": html_extract.op10_html_extraction,
     }

@@ -39,7 +39,6 @@ def subwords(words: ta.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text: distinct buckets and their weights, which add up to 1 (none for a text without words)."""
-    sums: list[dict] = [{} for _ in texts]
     out: list[list] = [[] for _ in texts]
     count = np.zeros(len(texts))
     for words in ta.chunks(texts, ta.not_space()):
@@ -53,10 +52,9 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         doc = uniq // BUCKETS
         for d in np.unique(doc):
             m = slice(*np.searchsorted(doc, [d, d + 1]))
-            out[d].append((uniq[m] % BUCKETS, total[m]))
-    del sums
+            out[d].append(((uniq[m] % BUCKETS).astype(np.int32), total[m].astype(np.float32)))
     return [
-        (np.concatenate([b for b, _ in o]), np.concatenate([w for _, w in o]) / n) if o else (np.zeros(0, np.int64), np.zeros(0))
+        (np.concatenate([b for b, _ in o]), np.concatenate([w for _, w in o]) / n) if o else (np.zeros(0, np.int32), np.zeros(0, np.float32))
         for o, n in zip(out, count)
     ]
 
