@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_extract, language_id, mixing, ngram_join, packing, quality, sharding, toxicity
+from . import chat, html_extract, language_id, mixing, ngram_join, packing, quality, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_topk": topk.op1_exact_topk,
         "op2_language_id": language_id.op2_language_id,
         "op3_sharding": sharding.op3_sharding,
         "op4_packing": packing.op4_packing,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE.format(docs="documents")}
+    return {"op1_exact_topk": topk.ORACLE, "op5_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE.format(docs="documents")}

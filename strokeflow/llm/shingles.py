@@ -112,3 +112,26 @@ def batches(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.
         new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
         yield row, end, h[new], of[new] + row
         row = end
+
+
+def bags(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, word hashes, rows, counts) of parts of ``texts``: distinct words, sorted by row and then hash."""
+    data, off = _spans(texts)
+    row = 0
+    while row < len(off) - 1:
+        end = int(np.searchsorted(off, off[row] + CHUNK, "right")) - 1
+        end = min(max(end, row + 1), len(off) - 1)
+        part = data[off[row] : off[end]]
+        if len(part) > CHUNK:
+            h = _long_words(part)
+            of = np.zeros(len(h), np.int64)
+        else:
+            h, start = _words(part, off[row:end] - off[row])
+            of = np.searchsorted(off[row : end + 1] - off[row], start, "right") - 1
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        yield row, end, h[at], of[at] + row, np.diff(np.append(at, len(h)))
+        row = end
