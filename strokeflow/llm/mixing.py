@@ -129,6 +129,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     return queue.select("doc_id", "size", "source", "source_size", F.col("target"), (F.col("size") * taken).cast("long").alias("taken"))
 
 
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as :func:`mix_sources` takes it, with the columns of ``docs``.
+
+    Rows that are equal in doc_id, source and size are matched one to one.
+    Documents without words weigh nothing and are not taken.
+    """
+    mixed = mix_sources(docs, **options).filter("taken > 0")
+    key = ["_id", "_source", "_size", "_nth"]
+    null_safe = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    nth = lambda by: F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(by))
+    copies = mixed.select(null_safe("doc_id").alias("_id"), null_safe("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    copies = copies.withColumn("_nth", nth(F.desc("_copies")))
+    rows = docs.withColumns({"_id": null_safe("doc_id"), "_source": null_safe("source"), "_size": word_count(F.col("text"))})
+    joined = rows.withColumn("_nth", nth(F.col("text"))).join(copies, key)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

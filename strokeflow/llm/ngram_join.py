@@ -340,5 +340,26 @@ def _leaders(large: DataFrame, labelled: DataFrame | None, low: int, high: int,
     return rest.join(lead, "gram").filter((F.col("vr") > F.col("ur")) & (F.col("ul") != F.col("vl")) & near).select("u", "v")
 
 
+def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` (doc_id, text and anything else) without the rows whose component has a smaller doc_id.
+
+    Rows without a shingle stay. Of rows that are equal in doc_id and text one
+    stays; different texts under one doc_id are judged together, by whether
+    any of them is in a component with a smaller doc_id. Rows to drop are
+    broadcast if they are few and joined by a shuffle if not.
+    """
+    linked = materialize(link(docs, k, num, den).select("doc_id", "component_id"), "join-linked")
+    few = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+    drop = materialize(linked.filter("NOT doc_id <=> component_id").select("doc_id").distinct(), "join-drop")
+    kept = docs.join(few(drop.filter("doc_id IS NOT NULL")), "doc_id", "left_anti")
+    if drop.filter("doc_id IS NULL").limit(1).count():
+        kept = kept.filter("doc_id IS NOT NULL")
+    repeated = materialize(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "join-repeated")
+    if repeated.limit(1).count() == 0:
+        return kept.select(*docs.columns)
+    once = kept.join(few(repeated), "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")

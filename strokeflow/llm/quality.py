@@ -151,9 +151,9 @@ def _estimate(sums: DataFrame, floors: list[float], factor: float) -> DataFrame:
     return out.select("grp", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)])
 
 
-def _distance(rows: DataFrame, estimate: DataFrame, d: int) -> DataFrame:
+def _distance(rows: DataFrame, estimate: DataFrame, d: int, how: str = "inner") -> DataFrame:
     """Adds ``d2``, the squared Mahalanobis distance."""
-    out = rows.join(estimate, "grp")
+    out = rows.join(estimate, "grp", how)
     for i in range(d):
         rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
@@ -181,8 +181,8 @@ def _centres(rows: DataFrame, d: int) -> DataFrame:
     )
 
 
-def mcd_distances(rows: DataFrame, floors: list[float], share: float = 0.75, steps: int = 4, reweight: float = 0.975) -> DataFrame:
-    """``rows`` (grp, x0.. as long, in UNITs, and others) with ``d2`` under the reweighted MCD estimate of its grp."""
+def mcd(rows: DataFrame, floors: list[float], share: float = 0.75, steps: int = 4, reweight: float = 0.975) -> DataFrame:
+    """The reweighted MCD estimate of each grp of ``rows`` (grp, and x0.. as long, in UNITs): see _estimate()."""
     d = len(floors)
     centres = _centres(rows, d)
     zero = [F.lit(0.0).alias(f"l{i}_{j}") for i in range(d) for j in range(i)]
@@ -190,17 +190,37 @@ def mcd_distances(rows: DataFrame, floors: list[float], share: float = 0.75, ste
     estimate = materialize(start, "mcd-estimate")
     factor = share / chi2_cdf(chi2_quantile(share, d), d + 2)
     for _ in range(steps):
-        far = _distance(rows, estimate, d).withColumn("bin", F.floor(F.log2(F.col("d2") + 0.01) * 32))
-        edge = _quantile_bin(far.select("grp", "bin"), ["grp"], share).withColumnRenamed("bin", "edge")
-        core = far.join(edge, "grp").filter("bin <= edge")
+        far = _distance(rows, _small(estimate), d).withColumn("bin", F.floor(F.log2(F.col("d2") + 0.01) * 32))
+        edge = materialize(_quantile_bin(far.select("grp", "bin"), ["grp"], share).withColumnRenamed("bin", "edge"), "mcd-edge")
+        core = far.join(_small(edge), "grp").filter("bin <= edge")
         estimate = materialize(_estimate(core.groupBy("grp").agg(*_moments(d)), floors, factor), "mcd-estimate")
-    near = _distance(rows, estimate, d).filter(F.col("d2") <= chi2_quantile(reweight, d))
+    near = _distance(rows, _small(estimate), d).filter(F.col("d2") <= chi2_quantile(reweight, d))
     factor = reweight / chi2_cdf(chi2_quantile(reweight, d), d + 2)
-    estimate = materialize(_estimate(near.groupBy("grp").agg(*_moments(d)), floors, factor), "mcd-estimate")
-    return _distance(rows, estimate, d)
+    return materialize(_estimate(near.groupBy("grp").agg(*_moments(d)), floors, factor), "mcd-estimate")
 
 
-def rate(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, least_group: int = 100, confidence: float = 1 - 1e-7) -> DataFrame:
+def _counted(docs: DataFrame, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """``docs`` with the counts, ``base_failed``, the transformed statistics (x0..) and the names of language and source."""
+    made = statistics(F.col("text").cast("string"))
+    words = words_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    counted = docs.drop(*made, "base_failed", "d2", "kept").withColumn("_repetition", repetition(words)).withColumns(made).drop("_repetition")
+    return counted.withColumns({"base_failed": failed, "_lang": name("lang"), "_source": name("source")})
+
+
+def _transformed(counted: DataFrame) -> DataFrame:
+    return counted.withColumns({f"x{i}": F.when(~F.col("base_failed"), F.round(c * UNIT)).cast("long") for i, (c, _) in enumerate(transforms())})
+
+
+def _small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df``, marked for broadcast if it has few rows; else it is joined by a shuffle. ``df`` is a written table, so counting is cheap."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def rate(
+    docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, least_group: int = 100, confidence: float = 1 - 1e-7, with_text: bool = False
+) -> DataFrame:
     """``docs`` (text, lang, source and anything else) with the counts of :func:`statistics`, ``base_failed``, ``d2`` and ``kept``.
 
     Base rules: fewer than ``min_words`` words, or more than
@@ -212,31 +232,26 @@ def rate(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, lea
     quantile of ``confidence``. ``d2`` is null where base rules failed. Null
     and empty texts have no words and fail. No rows give no rows. Columns of
     the same names are replaced.
-    """
-    made = statistics(F.col("text").cast("string"))
-    words = words_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    counted = docs.drop(*made, "base_failed", "d2", "kept").withColumn("_repetition", repetition(words)).withColumns(made).drop("_repetition")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    columns = [c for c in docs.columns if c not in (*made, "base_failed", "d2", "kept")]
-    slim = counted.drop("text") if "text" in columns else counted
-    slim = slim.withColumn("base_failed", failed)
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    slim = materialize(slim.withColumn("_lang", name("lang")).withColumn("_source", name("source")), "quality-counts")
-    return _judge(slim, [c for c in columns if c != "text"], list(made), least_group, confidence)
-
 
-def _judge(slim: DataFrame, columns: list[str], made: list[str], least_group: int, confidence: float) -> DataFrame:
+    Counts are written once, without texts, for the estimates. The
+    result has the texts only ``with_text``; they are then read and counted
+    again rather than stored or joined.
+    """
     kinds = transforms()
-    ok = slim.filter("NOT base_failed").select(*columns, *made, "base_failed", "_lang", "_source", *[F.round(c * UNIT).cast("long").alias(f"x{i}") for i, (c, _) in enumerate(kinds)])
-    sizes = ok.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("small", F.col("n") < least_group)
+    floors = [f for _, f in kinds]
+    slim = materialize(_counted(docs, min_words, max_repeat_percent).drop("text"), "quality-counts")
+    ok = slim.filter("NOT base_failed")
+    sizes = ok.groupBy("_lang", "_source").agg(F.count("*").alias("n")).withColumn("small", F.col("n") < least_group)
     sizes = sizes.withColumn("n_small", F.sum(F.when(F.col("small"), F.col("n"))).over(Window.partitionBy("_lang")))
     grp = F.when(~F.col("small"), F.concat_ws("\x01", "_lang", "_source")).when(F.col("n_small") >= least_group, F.concat(F.col("_lang"), F.lit("\x01*"))).otherwise("*")
-    grouped = materialize(ok.join(sizes.select("_lang", "_source", grp.alias("grp")), ["_lang", "_source"]), "quality-groups")
-    floors = [f for _, f in kinds]
-    far = mcd_distances(grouped, floors).withColumn("kept", F.col("d2") <= chi2_quantile(confidence, len(floors)))
-    keep = [*columns, *made, "base_failed", "d2", "kept"]
-    return far.select(*keep).unionByName(slim.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False)).select(*keep))
+    groups = materialize(sizes.select("_lang", "_source", grp.alias("grp")), "quality-groups")
+    named = lambda df: df.join(_small(groups), ["_lang", "_source"], "left")
+    xs = [f"x{i}" for i in range(len(kinds))]
+    estimate = mcd(named(_transformed(ok)).select("grp", *xs), floors)
+    target = named(_transformed(_counted(docs, min_words, max_repeat_percent) if with_text else slim))
+    limit = chi2_quantile(confidence, len(floors))
+    judged = _distance(target, _small(estimate), len(floors), "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(False)))
+    return judged.drop("grp", "_lang", "_source", *xs)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
