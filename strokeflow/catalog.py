@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from .plans import aggregate_queries, join_queries, session_queries  # noqa: F401
+    from .plans import aggregate_queries, join_queries, session_queries, window_queries  # noqa: F401

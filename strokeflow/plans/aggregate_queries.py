@@ -38,14 +38,14 @@ def e03(spark, sf):
     return A.zone_summary(B.samples(spark, sf).select("run_id", zone.alias("zone")), 12, ["run_id"])
 
 
-SHOTS = f"""count(*) AS shots, round(avg({C.OUT_FT}::DOUBLE - y * {C.OUT_FT - C.TIN_FT}::DOUBLE), 5) AS avg_height_ft, round(avg(speed_before), 5) AS avg_speed_in, round(avg(speed_after), 5) AS avg_speed_out,
-  round(max(speed_before), 5) AS max_speed, round(count(*) FILTER (WHERE x BETWEEN 0.21 AND 0.79) * 100.0::DOUBLE / count(*), 1) AS centre_pct,
+SHOTS = f"""count(*) AS shots, round(avg({C.OUT_FT}::DOUBLE - y * {C.OUT_FT - C.TIN_FT}::DOUBLE), 8) AS avg_height_ft, round(avg(speed_before), 8) AS avg_speed_in, round(avg(speed_after), 8) AS avg_speed_out,
+  round(max(speed_before), 8) AS max_speed, round(count(*) FILTER (WHERE x BETWEEN 0.21 AND 0.79) * 100.0::DOUBLE / count(*), 1) AS centre_pct,
   round(count(*) FILTER (WHERE NOT x BETWEEN 0.21 AND 0.79) * 100.0::DOUBLE / count(*), 1) AS side_pct, count(*) FILTER (WHERE call = 'IN') AS n_in, count(*) FILTER (WHERE call = 'OUT') AS n_out"""
 
 
 @register("e04_shot_metrics", f"SELECT run_id, {SHOTS} FROM front GROUP BY run_id")
 def e04(spark, sf):
-    return B.hits(spark, sf).filter("event_type = 'wall'").groupBy("run_id").agg(*A.shot_metrics(5))
+    return B.hits(spark, sf).filter("event_type = 'wall'").groupBy("run_id").agg(*A.shot_metrics(8))
 
 
 @register(
@@ -75,7 +75,7 @@ def e08(spark, sf):
     j = rally_hits(spark, sf).join(chained(spark, sf).select("run_id", "rally_number", "server", "winner"), ["run_id", "rally_number"])
     player = F.when(F.col("rally_hit_sequence") % 2 == 1, F.col("server")).otherwise(3 - F.col("server"))
     j = j.withColumn("player", player).withColumn("outcome", F.when(F.col("winner").isNull(), "none").when(F.col("winner") == F.col("player"), "won").otherwise("lost"))
-    return A.coaching(j, 5)
+    return A.coaching(j, 8)
 
 
 @register(
@@ -86,7 +86,7 @@ def e09(spark, sf):
     h = B.hits(spark, sf)
     recent = h.groupBy("run_id").agg(F.max("event_id").alias("created")).orderBy(F.desc("created"), F.desc("run_id")).limit(8).select("run_id")
     pooled = h.filter("event_type = 'wall'").join(F.broadcast(recent), "run_id")  # eight rows
-    return pooled.groupBy((F.col("frame") % 2 + 1).alias("player")).agg(*A.shot_metrics(5))
+    return pooled.groupBy((F.col("frame") % 2 + 1).alias("player")).agg(*A.shot_metrics(8))
 
 
 @register("e10_match_history", "SELECT run_id, row_number() OVER (ORDER BY first_id, run_id) AS match_no, n FROM (SELECT run_id, min(event_id) AS first_id, count(*) AS n FROM hits GROUP BY run_id)")

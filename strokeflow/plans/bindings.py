@@ -44,7 +44,7 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("run_id"),
         frame.alias("frame"),
         (frame / F.lit(60)).alias("t"),
-        F.when(seen, F.round(F.col("l_extendedprice") / 100, 3)).alias("x"),
+        F.when(seen, F.col("l_extendedprice") / 100).alias("x"),
         F.when(seen, F.col("l_quantity") * 20).alias("y"),
         (F.col("l_linenumber") + 2).cast("double").alias("width"),
         ((F.col("l_partkey") % 5) + 2).cast("double").alias("height"),
@@ -76,7 +76,7 @@ ENTITIES = {
       CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 = 0 THEN NULL WHEN CAST(json_extract_string(props, '$.k') AS INT) % 7 IN (1, 2) THEN 'OUT' ELSE 'IN' END AS call,
       value * 0.3::DOUBLE AS speed_before, value * 0.2::DOUBLE AS speed_after FROM events""",
     "track": """SELECT l_suppkey AS run_id, n + (n // 5) * 3 AS frame, (n + (n // 5) * 3) / 60.0::DOUBLE AS t,
-      CASE WHEN l_returnflag <> 'R' THEN round(l_extendedprice / 100, 3) END AS x, CASE WHEN l_returnflag <> 'R' THEN l_quantity * 20 END AS y,
+      CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 100 END AS x, CASE WHEN l_returnflag <> 'R' THEN l_quantity * 20 END AS y,
       CAST(l_linenumber + 2 AS DOUBLE) AS width, CAST(l_partkey % 5 + 2 AS DOUBLE) AS height, l_returnflag <> 'R' AS detected, round(l_discount * 10, 2) AS confidence
       FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n FROM lineitem)""",
     "samples": """SELECT l_suppkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS track,
