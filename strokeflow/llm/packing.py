@@ -13,9 +13,11 @@ of two, where no padding is needed.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,39 +26,63 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .storage import table
 
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a worker remembers.
+REMEMBERED = 1_000_000
+# The pieces that the vocabulary's own rules cut a text into, and
+# the characters for which lower-casing and normalisation are those of Python.
+PIECE = r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\s\w]|_)+"
+PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*"
 
 
 class Tokens:
-    """Ids of whole texts. The vocabulary never joins characters across an ASCII space, so chunks between them are encoded once and remembered."""
+    """Ids of whole texts. A text's pieces are encoded on their own, so each is encoded once by a worker and remembered."""
 
     def __init__(self, path: str):
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids: dict[str, bytes] = {"": b""}
-
-    def _encode(self, chunks: list[str]) -> None:
-        encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
-        for chunk, got in zip(chunks, encode(chunks, add_special_tokens=False)):
-            self._ids[chunk] = np.array(got.ids, "<u4").tobytes()
+        self._pieces = re.compile(PIECE).findall
+        self._plain = re.compile(PLAIN).fullmatch
+        self._ids: dict[str, bytes] = {}
+
+    def _exact(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """All new pieces in one call: a word number per token tells which piece it is of."""
+        got = self._tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        word, ids = np.array(got.word_ids), np.array(got.ids, "<u4").tobytes()
+        if len(word) and word[-1] == len(pieces) - 1:
+            at = (4 * np.searchsorted(word, np.arange(len(pieces) + 1))).tolist()
+            self._ids.update((x, ids[a:b]) for x, a, b in zip(pieces, at, at[1:]))
+        else:
+            self._ids.update((x, self._exact(x)) for x in pieces)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
-        parts = (text or "").replace("\n", " ").split(" ")
+        text = text or ""
+        if "<|" in text or not self._plain(text):
+            return self._exact(text)
+        pieces = self._pieces(text.lower())
         known = self._ids
-        new = [x for x in set(parts) if x not in known]
-        if new:
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            new = list({x for x in pieces if x not in known})
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                known[""] = b""
-                new = list(set(parts) - {""})
-            self._encode(new)
-        return b"".join(map(known.__getitem__, parts))
+                new = list(set(pieces))
+            self._learn(new)
+        return b"".join(map(known.__getitem__, pieces))
+
+
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One per worker and vocabulary, kept from task to task."""
+    return Tokens(path)
 
 
 @dataclass(frozen=True)
@@ -168,7 +194,7 @@ class Packer:
         while self.used:
             self._place()
         total = self.limits.tokens - self.left[0]
-        if total < self.limits.tokens - self.limits.slack:
+        if 0 < total < self.limits.tokens - self.limits.slack:
             self._by_powers(total)
         self._close()
 
@@ -204,7 +230,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
         sequence = TaskContext.get().partitionId() << 33
