@@ -122,3 +122,30 @@ def rewrite(text: Column, words: dict[str, str]) -> Column:
         text = F.regexp_replace(text, rf"\b{old[0].upper()}{old[1:]}\b", new[0].upper() + new[1:])
         text = F.regexp_replace(text, rf"(?i)\b{old}\b", new)
     return text
+
+
+def wall_u(x: Column, y: Column, top: tuple[float, float, float, float], bottom: tuple[float, float, float, float], steps: int = 1000) -> Column:
+    """The share u along two borders at which the point is nearest to the line between them, searched in ``steps`` steps; the first of equals."""
+
+    def off(i: Column) -> Column:
+        u = i / F.lit(float(steps))
+        ax, ay = top[0] + (top[2] - top[0]) * u, top[1] + (top[3] - top[1]) * u
+        bx, by = bottom[0] + (bottom[2] - bottom[0]) * u, bottom[1] + (bottom[3] - bottom[1]) * u
+        return F.struct(F.abs(signed_distance(ax, ay, bx, by, x, y)).alias("d"), i.alias("i"))
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(steps)), off))["i"] / F.lit(float(steps))
+
+
+def clamp_x(call: Column, x: Column, left: Column, right: Column) -> Column:
+    """X is clamped to the wall where the ball is vertically in."""
+    return F.when(call == "IN", F.greatest(left, F.least(right, x))).otherwise(x)
+
+
+def candidate_score(speed: Column, turn: Column, distance: Column) -> Column:
+    """Weighted and saturating evidence of a bounce."""
+    return 0.5 * F.least(F.lit(1.0), speed / 100) + 0.3 * F.least(F.lit(1.0), turn / 90) + 0.2 * F.greatest(F.lit(0.0), 1 - distance / 80)
+
+
+def prose(parts: list[Column], most: int) -> Column:
+    """The first ``most`` sentences that apply."""
+    return F.concat_ws(" ", F.slice(F.array_compact(F.array(*parts)), 1, most))

@@ -199,3 +199,33 @@ def refine_windows(hits: DataFrame, radius: int, start: int, end: int) -> DataFr
     """Frame windows around hits, clipped, with touching ones merged."""
     spans = hits.select(*KEY, F.greatest(F.col("frame") - radius, F.lit(start)).alias("start"), F.least(F.col("frame") + radius, F.lit(end)).alias("end"))
     return merge_intervals(spans.filter("start <= end"), bridge=1)
+
+
+def suppress_boxes(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
+    """Greedy suppression of boxes (x0, y0, x1, y1, score, seq) of one frame whose overlap over union with a kept one reaches ``iou``."""
+    box = F.struct((-F.col("score")).alias("s"), "seq", "x0", "y0", "x1", "y1")
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+
+    def overlaps(a: Column, b: Column) -> Column:
+        w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
+        h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+        both = F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
+        return both >= iou * (area(a) + area(b) - both)
+
+    grouped = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
+    none = F.filter("b", lambda x: F.lit(False))
+    kept = F.aggregate("b", none, lambda acc, x: F.when(F.exists(acc, lambda k: overlaps(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return grouped.select(*keys, F.explode(F.transform(kept, lambda k: k["seq"])).alias("seq"))
+
+
+def plausible_chunks(points: DataFrame, base: float, per_frame: float) -> DataFrame:
+    """Points that are not further from the last accepted one than ``base`` + ``per_frame`` per frame; a fold over one run, as the reference point is the last accepted."""
+    grouped = points.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y"))).alias("p"))
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        far = F.hypot(p["x"] - last["x"], p["y"] - last["y"]) > base + per_frame * (p["frame"] - last["frame"])
+        return F.when(F.coalesce(far, F.lit(False)), acc).otherwise(F.concat(acc, F.array(p)))
+
+    kept = F.aggregate("p", F.filter("p", lambda x: F.lit(False)), step)
+    return grouped.select(*KEY, F.inline(kept))

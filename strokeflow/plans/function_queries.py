@@ -131,3 +131,47 @@ def j26(spark, sf):
 @register("j27_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def j27(spark, sf):
     return B.read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@register(
+    "j03_clamped_x",
+    "SELECT run_id, frame, CASE WHEN y BETWEEN 200 AND 800 THEN greatest(100, least(900, x)) ELSE x END AS cx FROM track WHERE detected",
+)
+def j03(spark, sf):
+    call = C.judge(F.col("y"), F.lit(200.0), F.lit(800.0))["call"]
+    return B.track(spark, sf).filter("detected").select("run_id", "frame", C.clamp_x(call, F.col("x"), F.lit(100.0), F.lit(900.0)).alias("cx"))
+
+
+@register(
+    "j05_wall_diagram",
+    """WITH p AS (SELECT run_id, frame, x, y FROM track WHERE detected AND frame < 12), g AS (SELECT unnest(range(0, 1001)) AS i),
+      d AS (SELECT run_id, frame, i, i / 1000.0::DOUBLE AS u FROM p, g), e AS (SELECT d.*, 100 + 900 * u AS ax, 50 + 20 * u AS ay, 80 + 950 * u AS bx, 900 - 10 * u AS b_y FROM d)
+      SELECT run_id, frame, CAST(arg_min(i, struct_pack(a := round(abs(((bx - ax) * (y - ay) - (b_y - ay) * (x - ax)) / sqrt(power(bx - ax, 2) + power(b_y - ay, 2))), 9), b := i)) AS DOUBLE) / 1000 AS u FROM e JOIN p USING (run_id, frame) GROUP BY ALL""",
+)
+def j05(spark, sf):
+    p = B.track(spark, sf).filter("detected AND frame < 12")
+    return p.select("run_id", "frame", C.wall_u(F.col("x"), F.col("y"), (100.0, 50.0, 1000.0, 70.0), (80.0, 900.0, 1030.0, 890.0)).alias("u"))
+
+
+@register("j11_candidate_score", "SELECT run_id, frame, round(0.5::DOUBLE * least(1, speed_before / 100) + 0.3::DOUBLE * least(1, k / 90.0::DOUBLE) + 0.2::DOUBLE * greatest(0, 1 - y * 500 / 80), 6) AS score FROM hits")
+def j11(spark, sf):
+    return B.hits(spark, sf).select("run_id", "frame", F.round(C.candidate_score(F.col("speed_before"), F.col("k").cast("double"), F.col("y") * 500), 6).alias("score"))
+
+
+@register(
+    "j20_slug",
+    """SELECT page_id, CASE WHEN base = url THEN base ELSE concat_ws('-', CASE WHEN base <> '' THEN base END, left(sha1(url), 8)) END AS slug FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS base FROM pages)""",
+)
+def j20(spark, sf):
+    return B.read(spark, sf, "pages").select("page_id", C.slug(F.col("url")).alias("slug"))
+
+
+@register(
+    "j23_prose",
+    """SELECT run_id, array_to_string(list_filter([CASE WHEN n > 20 THEN 'You hit ' || n || ' shots.' END, CASE WHEN out_ > 5 THEN out_ || ' went out.' END, CASE WHEN out_ <= 5 THEN 'Few went out.' END], lambda z: z IS NOT NULL)[1:2], ' ') AS text
+      FROM (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE call = 'OUT') AS out_ FROM front GROUP BY run_id)""",
+)
+def j23(spark, sf):
+    m = B.hits(spark, sf).filter("event_type = 'wall'").groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("call") == "OUT").alias("out_"))
+    parts = [F.when(F.col("n") > 20, F.format_string("You hit %d shots.", "n")), F.when(F.col("out_") > 5, F.format_string("%d went out.", "out_")), F.when(F.col("out_") <= 5, F.lit("Few went out."))]
+    return m.select("run_id", C.prose(parts, 2).alias("text"))

@@ -192,3 +192,25 @@ def d25(spark, sf):
 def d26(spark, sf):
     h = B.hits(spark, sf)
     return J.neighbours_wrapped(h.filter("event_type = 'racket'"), h.select("run_id", "frame"))
+
+
+@register("d20_substring_join", "SELECT o_orderkey, max(n_name) AS n_name FROM orders JOIN nation ON contains(o_orderpriority || ' ' || o_orderstatus || ' ' || n_name, '1-URGENT F') AND n_nationkey = o_custkey % 25 GROUP BY o_orderkey")
+def d20(spark, sf):
+    o, n = B.read(spark, sf, "orders"), B.read(spark, sf, "nation")
+    j = o.join(n, (F.col("n_nationkey") == F.col("o_custkey") % 25) & F.concat_ws(" ", "o_orderpriority", "o_orderstatus", "n_name").contains("1-URGENT F"))
+    return j.groupBy("o_orderkey").agg(F.max("n_name").alias("n_name"))
+
+
+@register(
+    "e21_match_scores",
+    GREEDY.format(at="t", left="floor", right="racket", tol=12).replace(
+        "SELECT run_id, id AS left_id, m AS right_id, round(d, 6) AS distance FROM s",
+        """SELECT a.run_id, matched, n_left, n_right, round(CASE WHEN n_left + n_right = 0 THEN 1 ELSE 2 * matched::DOUBLE / (n_left + n_right) END, 6) AS f1 FROM (SELECT run_id, count(m) AS matched, count(*) AS n_left FROM s GROUP BY run_id) a
+          JOIN (SELECT run_id, count(*) FILTER (WHERE event_type = 'racket') AS n_right FROM hits GROUP BY run_id) b USING (run_id)""",
+    ),
+)
+def e21(spark, sf):
+    m = greedy(spark, sf, "t", "floor", "racket", 12.0).groupBy("run_id").agg(F.count("right_id").alias("matched"), F.count("*").alias("n_left"))
+    right = B.hits(spark, sf).groupBy("run_id").agg(F.count_if(F.col("event_type") == "racket").alias("n_right"))
+    both = F.col("n_left") + F.col("n_right")
+    return m.join(right, "run_id").withColumn("f1", F.round(F.coalesce(F.try_divide(2.0 * F.col("matched"), both), F.lit(1.0)), 6))

@@ -190,3 +190,23 @@ THIN = """WITH RECURSIVE r AS (SELECT run_id, frame, row_number() OVER (PARTITIO
 @register("g21_thin_bursts", THIN)
 def g21(spark, sf):
     return S.thin_bursts(B.hits(spark, sf).filter("event_type = 'wall'").select("run_id", "frame"), 4)
+
+
+CHUNK = """WITH RECURSIVE r AS (SELECT run_id, frame, x, y, row_number() OVER (PARTITION BY run_id ORDER BY frame) AS i FROM track WHERE detected AND frame < 300),
+  s AS (SELECT run_id, i, frame, x, y, frame AS lf, x AS lx, y AS ly, true AS ok FROM r WHERE i = 1
+    UNION ALL SELECT run_id, i, frame, x, y, CASE WHEN ok THEN frame ELSE lf END, CASE WHEN ok THEN x ELSE lx END, CASE WHEN ok THEN y ELSE ly END, ok FROM (
+      SELECT r.*, s.lf, s.lx, s.ly, sqrt(power(r.x - s.lx, 2) + power(r.y - s.ly, 2)) <= 90 + 55 * (r.frame - s.lf) AS ok FROM s JOIN r ON r.run_id = s.run_id AND r.i = s.i + 1))
+  SELECT run_id, frame FROM s WHERE ok"""
+
+
+@register("g13_plausible_chunks", CHUNK)
+def g13(spark, sf):
+    t = B.track(spark, sf).filter("detected AND frame < 300").select("run_id", "frame", "x", "y")
+    return S.plausible_chunks(t, 90.0, 55.0).select("run_id", "frame")
+
+
+@register("g20_suppress_boxes")
+def g20(spark, sf):
+    t = B.track(spark, sf).filter("detected")
+    boxes = t.select("run_id", F.floor(F.col("frame") / 30).alias("part"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 300).alias("x1"), (F.col("y") + 300).alias("y1"), F.col("confidence").alias("score"), F.col("frame").alias("seq"))
+    return S.suppress_boxes(boxes, ["run_id", "part"], 0.3)
