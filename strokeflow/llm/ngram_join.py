@@ -32,16 +32,18 @@ from .textarrays import U, mix
 #: Blocks of up to so many classes are multiplied out at once.
 SMALL = 8
 #: N-grams in at least this many documents come last in the order, the commonest MAX_COMMON of them (a bound on what is broadcast).
-COMMON = 32
+COMMON = 16
 MAX_COMMON = 200_000
 #: Bits of the filter that keeps sets without a candidate at home.
 FILTER_BITS = 1 << 26
+#: Rows of the table of where sets go up to which it is broadcast (of four numbers each); beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Members of a leader that one group compares.
 GROUP = 2000
 #: Distinct n-grams that a task counts at a time, and classes that it remembers having emitted.
 HELD = 1 << 21
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("gram", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("gram", pa.int64()), ("bits", pa.binary())])
 _COLUMN = pa.schema([("gram", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32())])
 _BODY = pa.schema([("set_id", pa.int64()), ("grams", pa.binary())])
 
@@ -60,6 +62,17 @@ def _ids(h: np.ndarray, of: np.ndarray, row: int, end: int) -> tuple[np.ndarray,
     return n, a.view(np.int64), b.view(np.int64)
 
 
+def _parity(h: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """Per set a bitmap of about as many bits as it has members: how often, odd or even, members fall on each."""
+    out, at = [], 0
+    for size in n.tolist():
+        bits = max(64, 1 << max(0, size - 1).bit_length())
+        place = ((h[at : at + size] >> U(20)) & U(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes() if size else None)
+        at += size
+    return out
+
+
 def _order(h: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sets in the global order (common n-grams last, else by hash), with each n-gram's place in its set."""
     if len(common):
@@ -73,7 +86,7 @@ def _order(h: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np.ndarra
 
 
 def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """A row per document (gram null): size and fingerprint; and rows of n-grams (doc_id null) that a task met more than once among first n-grams, with the count in n."""
+    """A row per document (gram null): size, fingerprint and parity bitmap; and rows of n-grams (doc_id null) that a task met more than once among first n-grams, with the count in n."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -84,13 +97,13 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             held.clear()
             g, c = g[c > 1].view(np.int64), c[c > 1]
             empty = pa.nulls(len(g), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, pa.array(c), empty, empty, pa.array(g)], schema=_SETS)
+            return pa.RecordBatch.from_arrays([empty, pa.array(c), empty, empty, pa.array(g), pa.nulls(len(g), pa.binary())], schema=_SETS)
 
         for batch in batches:
             for row, end, h, of in shingles.batches(batch["text"], k):
                 n, a, b = _ids(h, of, row, end)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][row:end], pa.array(n), pa.array(a), pa.array(b), pa.nulls(end - row, pa.int64())], schema=_SETS
+                    [batch["doc_id"][row:end], pa.array(n), pa.array(a), pa.array(b), pa.nulls(end - row, pa.int64()), pa.array(_parity(h, n), pa.binary())], schema=_SETS
                 )
                 h, of, place = _order(h, of, none)
                 size = n[of - row]
@@ -99,7 +112,7 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     yield common()
         yield common()
 
-    return docs.mapInArrow(describe, "doc_id long, n long, set_id long, check long, gram long")
+    return docs.mapInArrow(describe, "doc_id long, n long, set_id long, check long, gram long, bits binary")
 
 
 class _Seen:
@@ -240,21 +253,45 @@ def _bodies(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                     bodies = [h[border[i] : border[i + 1]].tobytes() for i in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(bodies, pa.binary())], schema=_BODY)
 
-    return docs.mapInArrow(emit, "set_id long, grams binary").groupBy("set_id").agg(F.first("grams").alias("grams"))
+    return docs.mapInArrow(emit, "set_id long, grams binary")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` without those that their parity bitmaps rule out.
+
+    Sets differ in at least as many members as their bitmaps differ in bits;
+    the larger bitmap folds onto the smaller.
+    """
+    of = lambda c: classes.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = zip(batch["nu"].to_pylist(), batch["nv"].to_pylist())
+            for i, ((a, b), x, y) in enumerate(zip(sizes, batch["bitsu"], batch["bitsv"])):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                m = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, m), axis=0) for z in (x, y))
+                overlap = (a + b - int(np.bitwise_count(x ^ y).sum())) // 2
+                keep[i] = den * overlap >= num * (a + b - overlap)
+            yield pa.RecordBatch.from_arrays([batch["u"].filter(pa.array(keep)), batch["v"].filter(pa.array(keep))], schema=schema)
+
+    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(rule, "u long, v long")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (u, v) among ``pairs`` by exact overlap: each leader's row times the rows of its members, group by group."""
-    bodies = materialize(_bodies(docs, k, pairs.select(F.explode(F.array("u", "v")).alias("set_id"))), "join-sets")
     groups = pairs.groupBy("u").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    member = (
-        pairs.join(groups, "u").select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("group"), "v")
-        .join(bodies.withColumnRenamed("set_id", "v"), "v").select("u", "group", "v", "grams")
-    )
-    leader = (
-        groups.select("u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
-        .join(bodies.withColumnRenamed("set_id", "u"), "u").select("u", "group", F.lit(None).cast("long").alias("v"), "grams")
-    )
+    members = pairs.join(groups, "u").select(F.col("v").alias("set_id"), "u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("group"), "v")
+    leaders = groups.select(F.col("u").alias("set_id"), "u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("v"))
+    # Where each set is to go: a set moves once for each group that it is in, and no table of sets is kept.
+    wanted = materialize(leaders.unionByName(members), "join-wanted")
+    bodies = _bodies(docs, k, wanted.select("set_id"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        sent = bodies.join(F.broadcast(wanted), "set_id")
+    else:
+        sent = bodies.groupBy("set_id").agg(F.first("grams").alias("grams")).join(wanted, "set_id")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +311,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
 
-    dealt = leader.unionByName(member).repartition("u", "group").sortWithinPartitions("u", "group", F.col("v").asc_nulls_first())
+    dealt = sent.select("u", "group", "v", "grams").repartition("u", "group").sortWithinPartitions("u", "group", F.col("v").asc_nulls_first())
     return dealt.mapInArrow(multiply, "u long, v long")
 
 
@@ -299,29 +336,34 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         described.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
         .orderBy(F.desc("n"), "gram").limit(MAX_COMMON).toPandas().gram.to_numpy(np.int64)
     )
+    classes = materialize(
+        sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")), "join-classes"
+    )
     blocks = materialize(_blocks(_first_grams(docs, k, num, den, np.sort(common.view(U))), num, den), "join-blocks")
     large = blocks.filter("u IS NULL").select("gram", F.col("v").alias("set_id"), "n", "rank")
     pairs = blocks.filter("u IS NOT NULL").select("u", "v").union(_leaders(large, None, 0, 1, num, den)).distinct()
-    links, low, high = None, 0, 1
+    links = materialize(docs.sparkSession.createDataFrame([], "u long, v long"), "join-links")
+    labels, low, high = links.select(F.col("u").alias("node"), F.col("v").alias("label")), 0, 1
     while True:
-        pairs = materialize(pairs, "join-pairs")
-        found = _verify(docs, pairs, k, num, den)
-        links = materialize(found if links is None else links.union(found), "join-links")
-        labels = components(links)
+        pairs = materialize(_possible(pairs, classes, num, den), "join-pairs")
+        if pairs.limit(1).count():
+            found = materialize(_verify(docs, pairs, k, num, den).distinct(), "join-links")
+            if found.limit(1).count():
+                links = links.union(found)
+                labels = components(links)
         low, high = high, high + 8 ** (1 + _log8(high))
         named = large.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         ends = named.filter(F.col("rank") >= low).groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("gram")
-        large = materialize(named.join(ends, "gram", "left_semi"), "join-large")
-        if large.limit(1).count() == 0:
+        alive = materialize(named.join(ends, "gram", "left_semi"), "join-large")
+        if alive.limit(1).count() == 0:
             break
-        pairs = _leaders(large.drop("label"), large, low, high, num, den).distinct()
-        large = large.drop("label")
-    classes = sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+        pairs = _leaders(alive, alive, low, high, num, den).distinct()
+        large = alive.drop("label")
     degree = links.select(F.explode(F.array("u", "v")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
-    known = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    known = classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = known.groupBy("label").agg(F.min("first").alias("component"))
     by_set = known.join(smallest, "label").join(degree, "set_id", "left").select("set_id", "component", "n_links")
-    joined = sets.withColumn("key", F.when(F.col("n") > 0, F.col("set_id"))).join(by_set.withColumnRenamed("set_id", "key"), "key", "left")
+    joined = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("key")).join(by_set.withColumnRenamed("set_id", "key"), "key", "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
