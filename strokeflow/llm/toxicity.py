@@ -24,7 +24,9 @@ BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 #: Buckets that own a vector, at most, and their least z.
 KNOWN = 4096
-LEAST_Z = 6.0
+LEAST_Z = 5.0
+#: Training texts whose bags are held at a time.
+SLICE = 128
 DIM = 8
 
 
@@ -70,9 +72,13 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float =
     if len(texts) == 0 or labels.min() == labels.max():
         prior = float(labels.mean()) if len(labels) else 0.0
         return np.zeros(BUCKETS), 30.0 * (2 * prior - 1) if len(labels) else -30.0
-    data = bags(texts)
+    # Bags are made twice, a slice of texts at a time, so that only the design matrix is held whole.
+    slices = [slice(i, i + SLICE) for i in range(0, len(texts), SLICE)]
     n = np.bincount(labels, minlength=2)
-    held = [np.bincount(np.concatenate([i for (i, _), y in zip(data, labels) if y == c]), minlength=BUCKETS) for c in (0, 1)]
+    held = np.zeros((2, BUCKETS), np.int64)
+    for part in slices:
+        for (idx, _), y in zip(bags(texts[part]), labels[part]):
+            held[y, idx] += 1
     share = (held[0] + held[1] + 1) / (len(texts) + 2)
     z = (held[1] / n[1] - held[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
     known = np.argsort(-np.abs(z), kind="stable")[:KNOWN]
@@ -81,10 +87,10 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float =
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
     x = np.zeros((len(texts), len(known)), np.float32)
-    for row, (idx, val) in enumerate(data):
-        at = place[idx]
-        x[row, at[at >= 0]] = val[at >= 0]
-    del data
+    for part in slices:
+        for row, (idx, val) in zip(range(part.start, part.stop), bags(texts[part])):
+            at = place[idx]
+            x[row, at[at >= 0]] = val[at >= 0]
     scale = odds / np.maximum(x.std(0), 1e-7)
     mean = x.mean(0)
     x -= mean
