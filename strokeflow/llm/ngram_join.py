@@ -40,10 +40,10 @@ FILTER_BITS = 1 << 26
 BROADCAST_ROWS = 500_000
 #: Members of a leader that one group compares.
 GROUP = 2000
-#: Distinct n-grams that a task counts at a time, and classes that it remembers having emitted.
-HELD = 1 << 21
+#: Sets that a task remembers having emitted.
+HELD = 1 << 19
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("gram", pa.int64()), ("bits", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("bits", pa.binary())])
 _COLUMN = pa.schema([("gram", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32())])
 _BODY = pa.schema([("set_id", pa.int64()), ("grams", pa.binary())])
 
@@ -85,44 +85,26 @@ def _order(h: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np.ndarra
     return h, of, at - np.maximum.accumulate(np.where(first, at, 0))
 
 
-def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """A row per document (gram null): size, fingerprint and parity bitmap; and rows of n-grams (doc_id null) that a task met more than once among first n-grams, with the count in n."""
+def _describe(docs: DataFrame, k: int) -> DataFrame:
+    """A row per document: size, fingerprint and parity bitmap of its set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        none = np.zeros(0, U)
-
-        def common() -> pa.RecordBatch:
-            g, c = np.unique(np.concatenate(held) if held else none, return_counts=True)
-            held.clear()
-            g, c = g[c > 1].view(np.int64), c[c > 1]
-            empty = pa.nulls(len(g), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, pa.array(c), empty, empty, pa.array(g), pa.nulls(len(g), pa.binary())], schema=_SETS)
-
         for batch in batches:
             for row, end, h, of in shingles.batches(batch["text"], k):
                 n, a, b = _ids(h, of, row, end)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][row:end], pa.array(n), pa.array(a), pa.array(b), pa.nulls(end - row, pa.int64()), pa.array(_parity(h, n), pa.binary())], schema=_SETS
-                )
-                h, of, place = _order(h, of, none)
-                size = n[of - row]
-                held.append(h[place <= size - _least(size, num, den)])
-                if sum(map(len, held)) > HELD:
-                    yield common()
-        yield common()
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][row:end], pa.array(n), pa.array(a), pa.array(b), pa.array(_parity(h, n), pa.binary())], schema=_SETS)
 
-    return docs.mapInArrow(describe, "doc_id long, n long, set_id long, check long, gram long, bits binary")
+    return docs.mapInArrow(describe, "doc_id long, n long, set_id long, check long, bits binary")
 
 
 class _Seen:
-    """Sets that a task has emitted; forgets all when it holds HELD, which costs repeated rows and nothing else."""
+    """Sets that a task has emitted; forgets all beyond HELD, which costs repeated rows and nothing else."""
 
     def __init__(self) -> None:
         self.seen: set[int] = set()
 
     def new(self, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if len(self.seen) > HELD // 4:
+        if len(self.seen) > HELD:
             self.seen.clear()
         out = np.zeros(len(ids), bool)
         for i in np.flatnonzero(wanted):
@@ -330,10 +312,10 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     Sets and shingles are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(_describe(docs, k, num, den), "join-described")
-    sets = described.filter("gram IS NULL").drop("gram")
+    sets = materialize(_describe(docs, k), "join-sets")
+    none = np.zeros(0, U)
     common = (
-        described.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+        _first_grams(docs, k, num, den, none).groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
         .orderBy(F.desc("n"), "gram").limit(MAX_COMMON).toPandas().gram.to_numpy(np.int64)
     )
     classes = materialize(
@@ -348,9 +330,11 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         pairs = materialize(_possible(pairs, classes, num, den), "join-pairs")
         if pairs.limit(1).count():
             found = materialize(_verify(docs, pairs, k, num, den).distinct(), "join-links")
-            if found.limit(1).count():
-                links = links.union(found)
-                labels = components(links)
+            links = links.union(found)
+            # The smallest leader that a set links with: cheap, and enough to pass over most of a block.
+            near = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
+            jump = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            labels = materialize(near.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "join-labels")
         low, high = high, high + 8 ** (1 + _log8(high))
         named = large.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         ends = named.filter(F.col("rank") >= low).groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("gram")
@@ -359,6 +343,7 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
             break
         pairs = _leaders(alive, alive, low, high, num, den).distinct()
         large = alive.drop("label")
+    labels = components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     known = classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = known.groupBy("label").agg(F.min("first").alias("component"))
