@@ -3,8 +3,9 @@
 Queries are taken in blocks of bounded size. For a block, one pass over the
 documents counts how many hold each query term; a second pass builds, shard by
 shard, an inverted index whose postings are cut into blocks of documents with
-the largest impact of each. A query's upper bound for a block of documents is
-the sum of those; blocks are scored from the highest bound down, and are passed
+the largest impact of each (the longest lists, which are in every block, as a
+matrix with their impacts themselves). A query's upper bound for a block of
+documents is the sum of those; blocks are scored from the highest bound down, and are passed
 over once the bound is below the k-th best score. Scores use global statistics,
 so the best of the shards' lists are the best of all.
 """
@@ -26,46 +27,74 @@ from .textarrays import U
 K1, B = 1.2, 0.75
 #: Documents whose impacts share a bound, documents and postings of a shard at most, decimals of a score.
 BLOCK = 32
-SHARD_DOCS = 8192
+SHARD_DOCS = 16_384
 SHARD_POSTINGS = 4_000_000
 DECIMALS = 6
+#: Lists of a shard that are kept as a matrix, and queries that are multiplied with it at a time.
+DENSE = 512
+BATCH = 128
 #: Distinct terms of a block of queries, all queries together.
 QUERY_TERMS = 2_000_000
 
 
 class Index:
-    """The inverted index of one shard. Terms are numbers in a block of queries' vocabulary."""
+    """The inverted index of one shard. Terms are numbers in a block of queries' vocabulary.
+
+    The DENSE terms with the longest lists lie in every block of documents, so
+    their postings are kept as a matrix: a product gives their part of a whole
+    batch of queries' scores. The other lists have entries, a term in a block
+    of documents, with the largest impact there. A block's bound for a query is
+    the largest matrix part in it plus the sum of its entries' bounds.
+    """
 
     def __init__(self, ids: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
-        order = np.lexsort((doc, term))
-        term, self.doc, tf = term[order], doc[order], tf[order]
+        self.ids, self.blocks = ids, -(-len(ids) // BLOCK)
         norm = K1 * (1 - B + B * length / mean)
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.ids = ids
-        self.blocks = -(-len(ids) // BLOCK)
+        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        df = np.bincount(term, minlength=len(idf))
+        dense = np.sort(np.argsort(-df, kind="stable")[:DENSE])
+        self.column = np.full(len(idf), -1)
+        self.column[dense] = np.arange(len(dense))
+        self.exact = np.zeros((self.blocks * BLOCK, len(dense)))
+        at = self.column[term]
+        m = at >= 0
+        self.exact[doc[m], at[m]] = impact[m]
+        self.matrix = self.exact.astype(np.float32)
+        term, doc, impact = term[~m], doc[~m], impact[~m]
+        order = np.lexsort((doc, term))
+        term, self.doc, self.impact = term[order], doc[order], impact[order]
         key = term.astype(np.int64) * self.blocks + self.doc // BLOCK
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        #: An entry is a term in a block: its block, its postings, its largest impact.
         self.block = (key[first] % max(1, self.blocks)).astype(np.int32)
         self.first = np.append(first, len(key))
         self.bound = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.entries = np.searchsorted(key[first] // max(1, self.blocks), np.arange(len(idf) + 1))
 
-    def search(self, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the best ``k`` documents, by rounded score and then id; documents without a term never show."""
+    def batch(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and scores of the best ``k`` documents of each query (terms, weights), by rounded score and then id; documents without a term never show."""
+        weights = np.zeros((len(queries), self.matrix.shape[1]))
+        for row, (terms, weight) in zip(weights, queries):
+            at = self.column[terms]
+            row[at[at >= 0]] = weight[at >= 0]
+        parts = weights.astype(np.float32) @ self.matrix.T
+        for (terms, weight), dense, part in zip(queries, weights, parts):
+            sparse = self.column[terms] < 0
+            yield self._search(terms[sparse], weight[sparse], dense, part, k)
+
+    def _search(self, terms: np.ndarray, weight: np.ndarray, dense: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         begin, size = self.entries[terms], self.entries[terms + 1] - self.entries[terms]
         entry = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        w = np.repeat(weight, size)
-        block = self.block[entry]
-        bound = np.bincount(block, w * self.bound[entry], self.blocks)
+        w, block = np.repeat(weight, size), self.block[entry]
+        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(block, w * self.bound[entry], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound)]
-        places, scores = np.zeros(0, np.int64), np.zeros(0)
+        # The product is in single precision: what it may be off by, and half a rounding step.
+        slack = 1e-4 * (bound.max() if len(bound) else 0.0) + 10.0**-DECIMALS
+        places, scores, rest = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         at, step, least = 0, 4, -np.inf
-        margin = 10.0**-DECIMALS
         while at < len(order):
             some = order[at : at + step]
-            some = some[bound[some] * (1 + 1e-12) + margin >= least]
+            some = some[bound[some] + slack >= least]
             if not len(some):
                 break
             chosen = np.zeros(self.blocks, bool)
@@ -74,15 +103,18 @@ class Index:
             e, we = entry[m], w[m]
             n = self.first[e + 1] - self.first[e]
             p = np.arange(n.sum()) + np.repeat(self.first[e] - (np.cumsum(n) - n), n)
-            total = np.bincount(self.doc[p], np.repeat(we, n) * self.impact[p], len(self.ids))
-            got = np.flatnonzero(total)
-            places, scores = np.concatenate([places, got]), np.concatenate([scores, np.round(total[got], DECIMALS)])
-            best = np.lexsort((self.ids[places], -scores))[:k]
-            places, scores = places[best], scores[best]
-            if len(scores) == k:
-                least = scores[-1]
-            at, step = at + step, step * 4
-        return places, scores
+            tail = np.bincount(self.doc[p], np.repeat(we, n) * self.impact[p], len(part))
+            total = np.where(np.repeat(chosen, BLOCK), part + tail, 0.0)
+            got = np.flatnonzero((total > 0) & (total + 2 * slack >= least))
+            places, scores, rest = (np.concatenate(x) for x in ((places, got), (scores, total[got]), (rest, tail[got])))
+            if len(scores) > k:
+                least = np.partition(scores, -k)[-k]
+                keep = scores + 2 * slack >= least
+                places, scores, rest = places[keep], scores[keep], rest[keep]
+            at, step = at + step, step * 16
+        exact = np.round(self.exact[places] @ dense + rest, DECIMALS)
+        best = np.lexsort((self.ids[places], -exact))[:k]
+        return places[best], exact[best]
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -153,11 +185,12 @@ def _search_block(docs: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
             docs = postings = 0
             index = Index(doc_ids, term, doc, tf, length, idf, mean)
             out: list[tuple] = []
-            for q in range(len(ids)):
-                span = slice(border[q], border[q + 1])
-                places, scores = index.search(number[span], qtf[span], k)
-                if len(places):
-                    out.append((np.full(len(places), q), np.full(len(places), ids[q]), index.ids[places], scores))
+            for first in range(0, len(ids), BATCH):
+                some = range(first, min(first + BATCH, len(ids)))
+                vectors = [(number[border[q] : border[q + 1]], qtf[border[q] : border[q + 1]]) for q in some]
+                for q, (places, scores) in zip(some, index.batch(vectors, k)):
+                    if len(places):
+                        out.append((np.full(len(places), q), np.full(len(places), ids[q]), index.ids[places], scores))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
 
