@@ -86,15 +86,18 @@ def _order(h: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np.ndarra
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document: size, fingerprint and parity bitmap of its set."""
+    """A row per document: size, fingerprint and parity bitmap of its set, and its ``text_id`` if ``docs`` have one."""
+    keyed = "text_id" in docs.columns
+    schema = _SETS.append(pa.field("text_id", pa.int64())) if keyed else _SETS
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, h, of in shingles.batches(batch["text"], k):
                 n, a, b = _ids(h, of, row, end)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][row:end], pa.array(n), pa.array(a), pa.array(b), pa.array(_parity(h, n), pa.binary())], schema=_SETS)
+                own = [batch["text_id"][row:end]] if keyed else []
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][row:end], pa.array(n), pa.array(a), pa.array(b), pa.array(_parity(h, n), pa.binary()), *own], schema=schema)
 
-    return docs.mapInArrow(describe, "doc_id long, n long, set_id long, check long, bits binary")
+    return docs.mapInArrow(describe, "doc_id long, n long, set_id long, check long, bits binary" + (", text_id long" if keyed else ""))
 
 
 class _Seen:
@@ -312,6 +315,13 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     Sets and shingles are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _linked(docs, k, num, den).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """n, label, component, n_links and whatever names a row (doc_id; text_id if ``docs`` have one) for every row; rows of one component, and no others, share a ``label``."""
     sets = materialize(_describe(docs, k), "join-sets")
     none = np.zeros(0, U)
     common = (
@@ -347,11 +357,9 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     degree = links.select(F.explode(F.array("u", "v")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     known = classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = known.groupBy("label").agg(F.min("first").alias("component"))
-    by_set = known.join(smallest, "label").join(degree, "set_id", "left").select("set_id", "component", "n_links")
-    joined = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("key")).join(by_set.withColumnRenamed("set_id", "key"), "key", "left")
-    return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    by_set = known.join(smallest, "label").join(degree, "set_id", "left").select("set_id", "label", "component", "n_links")
+    named = [c for c in ("doc_id", "text_id") if c in sets.columns]
+    return sets.select(*named, "n", F.when(F.col("n") > 0, F.col("set_id")).alias("key")).join(by_set.withColumnRenamed("set_id", "key"), "key", "left").drop("key")
 
 
 def _log8(x: int) -> int:
@@ -368,24 +376,29 @@ def _leaders(large: DataFrame, labelled: DataFrame | None, low: int, high: int,
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 500_000) -> DataFrame:
-    """``docs`` (doc_id, text and anything else) without the rows whose component has a smaller doc_id.
+    """One row of each component of ``docs`` (doc_id, text and anything else), and all rows without a shingle.
 
-    Rows without a shingle stay. Of rows that are equal in doc_id and text one
-    stays; different texts under one doc_id are judged together, by whether
-    any of them is in a component with a smaller doc_id. Rows to drop are
-    broadcast if they are few and joined by a shuffle if not.
+    The row with the smallest doc_id stays, null after all others. Each row is
+    judged by its own text, whoever shares its doc_id: rows are told apart by
+    doc_id and a 64-bit hash of the text, and under one doc_id the smallest
+    hash stays. Of rows that are equal in both one stays. Rows to drop
+    are broadcast if they are few and joined by a shuffle if not.
     """
-    linked = materialize(link(docs, k, num, den).select("doc_id", "component_id"), "join-linked")
+    own = F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own.alias("text_id"))
+    linked = materialize(_linked(keyed, k, num, den).filter("n > 0").groupBy("label", "doc_id", "text_id").agg(F.count("*").alias("copies")), "join-linked")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")
+    judged = linked.withColumn("place", place).join(linked.groupBy("label").agg(F.min(place).alias("first")), "label")
+    judged = judged.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), "copies", (F.col("place") == F.col("first")).alias("stays"))
+    judged = materialize(judged.filter("NOT stays OR copies > 1"), "join-judged")
     few = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
-    drop = materialize(linked.filter("NOT doc_id <=> component_id").select("doc_id").distinct(), "join-drop")
-    kept = docs.join(few(drop.filter("doc_id IS NOT NULL")), "doc_id", "left_anti")
-    if drop.filter("doc_id IS NULL").limit(1).count():
-        kept = kept.filter("doc_id IS NOT NULL")
-    repeated = materialize(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "join-repeated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (own == F.col("_text"))
+    kept = docs.join(few(judged.filter("NOT stays").select("_doc", "_text")), same, "left_anti")
+    repeated = judged.filter("stays").select("_doc", "_text")
     if repeated.limit(1).count() == 0:
-        return kept.select(*docs.columns)
-    once = kept.join(few(repeated), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+        return kept
+    repeated = few(repeated)
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

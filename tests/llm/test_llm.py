@@ -288,6 +288,17 @@ def test_join_edge_cases(spark, odd, none, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs(spark, rows), 4, 85).collect()} == jaccard_components(dict(rows), 4, 85, 100)
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_keep_first_judges_rows(spark, few):
+    a, b, c, d, e = (prose(40, 9000 + i) for i in range(5))
+    near = " ".join(["zz", *d.split()[1:]])
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (7, a), (7, e), (9, d), (9, near), (None, None), (None, " "), (7, "")]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_first(docs(spark, rows), broadcast_rows=few).collect())
+    last = {x: n for x, n in kept.items() if x[0] == 9}
+    assert last in ({(9, d): 1}, {(9, near): 1})
+    assert {x: n for x, n in kept.items() if x[0] != 9} == {(1, a): 1, (None, b): 1, (None, c): 1, (7, e): 1, (None, None): 1, (None, " "): 1, (7, ""): 1}
+
+
 # 8
 
 
