@@ -26,6 +26,9 @@ RAW = frozenset("script style title textarea noscript template iframe object svg
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLUTTER_TAGS = frozenset("nav header footer aside form menu dialog button select label head".split())
 MAIN_TAGS = frozenset("article main".split())
+#: Elements whose names say what is in them (has-sidebar), not what they are.
+WHOLE_TAGS = MAIN_TAGS | {"html", "body"}
+WRAPPED_TAGS = MAIN_TAGS | frozenset("div section table".split())
 CLUTTER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav widget widgets "
     "footer contentinfo masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments "
@@ -56,6 +59,8 @@ LABELLED = [
     (40, 0.0, 60, 0.0, 35, 0.0, 1, 1, 0, 0, 0),
     (12, 0.0, 45, 0.1, 30, 0.0, 1, 1, 0, 0, 0),
     (120, 0.0, 9, 0.0, 80, 0.0, 1, 0, 1, 0, 0),
+    (150, 0.8, 9, 0.0, 80, 0.0, 1, 0, 1, 0, 0),
+    (160, 0.7, 5, 0.0, 60, 0.0, 1, 0, 0, 0, 0),
     (25, 0.4, 30, 0.0, 20, 1.0, 1, 0, 0, 0, 0),
     (3, 0.0, 120, 0.0, 50, 0.0, 1, 1, 0, 1, 0),
     (11, 0.0, 9, 0.0, 75, 0.0, 0, 1, 0, 1, 1),
@@ -90,9 +95,19 @@ LABELLED = [
     (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
     (4, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
     (5, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
-    # Clutter, whatever its size and neighbours.
+    # Clutter, unless it is long prose that no main part stands against.
     (5, 0.0, 20, 0.0, 30, 0.0, 1, 1, 0, 0, 0),
     (200, 0.0, 60, 0.0, 300, 0.0, 1, 0, 1, 0, 0),
+    (200, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
+    (300, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1, 0, 0),
+    (170, 0.1, 5, 0.0, 8, 0.0, 1, 0, 1, 0, 0),
+    (250, 0.0, 300, 0.0, 20, 0.0, 1, 0, 1, 0, 0),
+    (160, 0.0, 20, 1.0, 0, 0.0, 1, 0, 1, 0, 0),
+    (200, 0.0, 60, 0.0, 300, 0.0, 1, 0, 0, 0, 1),
+    (150, 0.1, 5, 0.0, 12, 0.0, 1, 0, 0, 0, 1),
+    (180, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
+    (170, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 0, 1),
+    (250, 0.1, 70, 0.0, 80, 0.0, 1, 1, 0, 0, 1),
     (80, 0.1, 20, 0.0, 15, 0.0, 1, 0, 0, 0, 0),
     (15, 0.0, 5, 0.0, 25, 0.0, 1, 1, 0, 1, 0),
     (35, 0.0, 2, 0.0, 9, 0.0, 1, 0, 0, 0, 0),
@@ -108,11 +123,16 @@ LABELLED = [
     (25, 0.0, 8, 0.0, 6, 0.0, 0, 1, 0, 0, 1),
     (10, 0.9, 8, 0.0, 9, 0.0, 0, 1, 0, 0, 1),
     (50, 0.0, 200, 0.0, 200, 0.0, 0, 1, 0, 0, 1),
-    # Outside a main part that the page has.
+    # Outside a main part that the page has: long prose only.
+    (180, 0.0, 10, 0.0, 90, 0.0, 0, 0, 1, 0, 1),
+    (150, 0.1, 3, 0.0, 10, 0.0, 0, 0, 1, 0, 1),
+    (300, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 1),
+    (180, 0.8, 10, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
+    (150, 0.7, 3, 1.0, 10, 1.0, 0, 0, 1, 0, 0),
     (70, 0.0, 10, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
     (40, 0.0, 300, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
     (12, 0.0, 20, 0.0, 15, 0.0, 0, 0, 1, 1, 0),
-    (200, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1, 0, 0),
+    (200, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1, 0, 1),
     (3, 0.0, 70, 0.0, 6, 0.0, 0, 0, 1, 0, 0),
     (25, 0.1, 2, 1.0, 30, 0.1, 0, 0, 1, 0, 0),
     (5, 1.0, 50, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
@@ -167,22 +187,65 @@ def decide(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
-def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """Whether a container says that it is clutter, a header, a main part."""
-    clutter, header, main = tag in CLUTTER_TAGS and tag != "header", tag == "header", tag in MAIN_TAGS
+def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a container is surely clutter, and whether it says that it is clutter, a header, a main part."""
+    sure, header, main = tag in CLUTTER_TAGS and tag not in ("header", "form"), tag == "header", tag in MAIN_TAGS
+    said = tag == "form"
     if attrs and "=" in attrs or "hidden" in attrs:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role", "aria-label"):
                 names = set(_NAME.findall(value))
-                clutter |= bool(names & CLUTTER_WORDS)
-                header |= bool(names & HEADER_WORDS) or (name == "role" and "banner" in names)
+                if tag not in WHOLE_TAGS:
+                    said |= bool(names & CLUTTER_WORDS)
+                    header |= bool(names & HEADER_WORDS) or (name == "role" and "banner" in names)
                 main |= bool(names & MAIN_WORDS) and tag in ("div", "section", "td", "main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                clutter = True
+                sure = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                clutter = True
-    return clutter, header, main and not clutter
+                sure = True
+    return sure, said, header, main and not sure and not said
+
+
+def _resolve(inside: list[tuple[int, bool, bool, bool, bool]], wraps: set[int], found: list[tuple]) -> tuple[list[bool], list[bool]]:
+    """Whether each container is clutter, and whether in the main part, with what the outer ones are.
+
+    ``inside`` has a container's outer one, which comes before it, and its kind;
+    ``found`` has blocks as (text, words, words in links, container, heading). A
+    container that says it is clutter but wraps most of the page, with next to
+    no main part elsewhere, is not clutter. A page has a main part if its
+    main containers hold most of its text that is not clutter.
+    """
+    n = len(inside)
+
+    def settle(wrappers: set[int], with_main: bool) -> tuple[list[bool], list[bool]]:
+        clutter, in_main = [False] * n, [False] * n
+        for i in range(1, n):
+            outer, sure, said, header, main = inside[i]
+            own = sure or (said and i not in wrappers) or (header and not in_main[outer])
+            clutter[i], in_main[i] = clutter[outer] or own, in_main[outer] or (with_main and main)
+        return clutter, in_main
+
+    def held(counts) -> list[int]:
+        total = [0] * n
+        for of, words in counts:
+            total[of] += words
+        for i in range(n - 1, 0, -1):
+            total[inside[i][0]] += total[i]
+        return total
+
+    wrappers = {i for i in wraps if inside[i][2]}
+    if wrappers:
+        # Text that is clutter by no more than what wrappers say.
+        clutter, in_main = settle(wrappers, True)
+        plain = [(b[3], b[1]) for b in found if not clutter[b[3]]]
+        text, main = held(plain), held((c, w) for c, w in plain if in_main[c])
+        wrappers = {i for i in wrappers if 2 * text[i] > text[0] and 10 * (main[0] - main[i]) <= text[i]}
+    clutter, in_main = settle(wrappers, True)
+    words = sum(b[1] for b in found if not clutter[b[3]])
+    if 2 * sum(b[1] for b in found if not clutter[b[3]] and in_main[b[3]]) <= words:
+        clutter, in_main = settle(wrappers, False)
+    return clutter, in_main
 
 
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
@@ -190,7 +253,9 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     out: list[tuple] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple] = [("", False, False)]  # tag, clutter, main: with what the outer ones are
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, container
+    inside: list[tuple] = [(0, False, False, False, False)]  # of each container: the outer one, and its kind
+    wraps: set[int] = set()  # containers with further ones for text
     link = heading = False
 
     def close_block() -> None:
@@ -199,7 +264,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 in_links = len(unescape("".join(linked)).split())
-                out.append((text, text.count(" ") + 1, in_links, stack[-1][1], stack[-1][2], heading))
+                out.append((text, text.count(" ") + 1, in_links, stack[-1][1], heading))
             parts.clear()
             linked.clear()
         heading = False
@@ -236,29 +301,33 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    if tag not in BLOCK and stack[-1][1] != stack[i - 1][1]:
+                    if tag not in BLOCK:
                         close_block()
                     del stack[i:]
                     break
         elif tag not in VOID and tag not in ("p", "a", "br"):
             if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack[-1][0] == tag:
                 stack.pop()
-            clutter, header, main = _kind(tag, attrs)
-            clutter |= header and not stack[-1][2]
-            if tag in BLOCK or clutter:
+            kind = _kind(tag, attrs)
+            if tag in BLOCK or any(kind[:3]):
                 if tag not in BLOCK:
                     close_block()
-                stack.append((tag, stack[-1][1] or clutter, stack[-1][2] or main))
+                if tag in WRAPPED_TAGS:
+                    wraps.add(stack[-1][1])
+                inside.append((stack[-1][1], *kind))
+                stack.append((tag, len(inside) - 1))
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = True
         elif tag == "p" and attrs:
-            clutter, _, _ = _kind(tag, attrs)
-            if clutter:
-                stack.append(("p", True, stack[-1][2]))
+            sure, said, _, _ = _kind(tag, attrs)
+            if sure or said:
+                inside.append((stack[-1][1], sure, said, False, False))
+                stack.append(("p", len(inside) - 1))
         if tag == "p" and not closing and not attrs and stack[-1][0] == "p":
             stack.pop()
     close_block()
-    return out
+    clutter, in_main = _resolve(inside, wraps, out)
+    return [(text, words, in_links, clutter[of], in_main[of], heading) for text, words, in_links, of, heading in out]
 
 
 def extract(html: str | None, tree: tuple | int) -> str:

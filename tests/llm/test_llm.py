@@ -399,6 +399,25 @@ def test_html_articles(spark):
         assert got[r.page_id].text == "\n".join(p for p in parts if p) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_html_names_do_not_decide_alone():
+    tree = html_extract.grow(html_extract.LABELLED)
+    assert all(html_extract.decide(tree, r[:-1]) == r[-1] for r in html_extract.LABELLED)
+    article, long, side = prose(60, 1), prose(200, 2), prose(8, 3)
+    pages = {
+        f'<body class="has-sidebar"><article><p>{article}</article><div class="sidebar">{side}</div></body>': article,
+        f'<html class="no-cookies"><body class="header-fixed"><main class="share"><p>{article}</main><nav>{side}</nav>': article,
+        f'<body><div class="post-meta">By X</div><div class="text">{article}</div>': f"By X\n{article}",
+        f'<body><div class="with-sidebar"><div class="post-meta">By X</div><div class="text">{article}</div><aside>{side}</aside></div>': f"By X\n{article}",
+        f'<body><div class="has-sidebar"><article><p>{article}</article></div><div class="sidebar">{side}</div>': article,
+        f'<form id="aspnet"><div class="content"><p>{article}</div><div class="menu">{side}</div></form>': article,
+        f"<article><p>{prose(300, 4)}</article><div><p>{long}</div><div><p>{side}</div>": f"{prose(300, 4)}\n{long}",
+        f'<body><div class="promo">{long}</div><p>{side}': f"{long}\n{side}",
+        f'<article><p>{article}</article><div class="comments"><div class="text">{long}</div></div>': article,
+    }
+    for page, text in pages.items():
+        assert html_extract.extract(page, tree) == text, page
+
+
 # pipeline
 
 
