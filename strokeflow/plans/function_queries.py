@@ -106,6 +106,11 @@ def j17(spark, sf):
     return B.read(spark, sf, "part").filter("p_partkey < 5").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("p_partkey", F.least(F.col("i") * 352, F.lit(1920 - 416)).cast("long").alias("x0"))
 
 
+@register("j17_tile_origins_whole", "SELECT p_partkey, least(i * 352, 1920 - 416) AS x0 FROM part, (SELECT unnest(range(0, 6)) AS i)")
+def j17_whole(spark, sf):
+    return B.read(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("p_partkey", F.least(F.col("i") * 352, F.lit(1920 - 416)).cast("long").alias("x0"))
+
+
 @register("j21_regex_parse", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '/([0-9]+)(\\?|$)', 1) AS number FROM pages")
 def j21(spark, sf):
     return B.read(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"), F.regexp_extract("url", r"/([0-9]+)(\?|$)", 1).alias("number"))
@@ -153,6 +158,12 @@ def j05(spark, sf):
     return p.select("run_id", "frame", C.wall_u(F.col("x"), F.col("y"), (100.0, 50.0, 1000.0, 70.0), (80.0, 900.0, 1030.0, 890.0)).alias("u"))
 
 
+@register("j05_wall_diagram_whole")
+def j05_whole(spark, sf):
+    p = B.track(spark, sf).filter("detected")
+    return p.select("run_id", "frame", C.wall_u(F.col("x"), F.col("y"), (100.0, 50.0, 1000.0, 70.0), (80.0, 900.0, 1030.0, 890.0)).alias("u"))
+
+
 @register("j11_candidate_score", "SELECT run_id, frame, round(0.5::DOUBLE * least(1, speed_before / 100) + 0.3::DOUBLE * least(1, k / 90.0::DOUBLE) + 0.2::DOUBLE * greatest(0, 1 - y * 500 / 80), 6) AS score FROM hits")
 def j11(spark, sf):
     return B.hits(spark, sf).select("run_id", "frame", F.round(C.candidate_score(F.col("speed_before"), F.col("k").cast("double"), F.col("y") * 500), 6).alias("score"))
