@@ -229,3 +229,27 @@ def plausible_chunks(points: DataFrame, base: float, per_frame: float) -> DataFr
 
     kept = F.aggregate("p", F.filter("p", lambda x: F.lit(False)), step)
     return grouped.select(*KEY, F.inline(kept))
+
+
+def wall_chunks(points: DataFrame, base: float, per_frame: float) -> DataFrame:
+    """Chunks of plausible points (frame, x, y, inside the gate, score if a candidate) with the best candidate of each, the first of equals.
+
+    A plausible point outside the gate ends the chunk and forgets the last accepted point; chunks without a candidate are left out.
+    """
+    finite = points.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    grouped = finite.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y", "inside", "score"))).alias("p"))
+    member = lambda p, n: F.struct(p["frame"].alias("frame"), p["x"].alias("x"), p["y"].alias("y"), p["score"].alias("score"), n.alias("chunk"))
+    state = lambda open_, n, kept: F.struct(open_.alias("open"), n.alias("n"), kept.alias("kept"))
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.get(acc["kept"], F.size(acc["kept"]) - 1)
+        far = acc["open"] & (F.hypot(p["x"] - last["x"], p["y"] - last["y"]) > base + per_frame * (p["frame"] - last["frame"]))
+        n = acc["n"] + (~acc["open"]).cast("int")
+        taken = state(F.lit(True), n, F.concat(acc["kept"], F.array(member(p, n))))
+        return F.when(F.coalesce(far, F.lit(False)), acc).when(F.coalesce(p["inside"], F.lit(False)), taken).otherwise(state(F.lit(False), acc["n"], acc["kept"]))
+
+    none = F.filter(F.transform("p", lambda p: member(p, F.lit(0))), lambda x: F.lit(False))
+    kept = grouped.select(*KEY, F.inline(F.aggregate("p", state(F.lit(False), F.lit(0), none), step)["kept"]))
+    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("frame")).alias("back"))))
+    chunks = kept.groupBy(*KEY, "chunk").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("frames"), F.count("score").alias("candidates"), best.alias("best"))
+    return chunks.filter("candidates > 0").select(*KEY, "start_frame", "end_frame", "frames", "candidates", (-F.col("best.back")).alias("frame"), F.col("best.score").alias("score"))

@@ -205,6 +205,19 @@ def g13(spark, sf):
     return S.plausible_chunks(t, 90.0, 55.0).select("run_id", "frame")
 
 
+@register("g13_plausible_chunks_whole")
+def g13_whole(spark, sf):
+    t = B.track(spark, sf).filter("detected").select("run_id", "frame", "x", "y")
+    return S.plausible_chunks(t, 90.0, 55.0).select("run_id", "frame")
+
+
+@register("g13_front_wall_chunks")
+def g13_chunks(spark, sf):
+    t = B.track(spark, sf).filter("detected")
+    score = F.when(F.col("height") > 3, F.col("confidence"))
+    return S.wall_chunks(t.select("run_id", "frame", "x", "y", F.col("y").between(200, 800).alias("inside"), score.alias("score")), 90.0, 55.0)
+
+
 @register("g20_suppress_boxes")
 def g20(spark, sf):
     t = B.track(spark, sf).filter("detected")

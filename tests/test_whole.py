@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from math import hypot
+
 import numpy as np
 
 from strokeflow import catalog
+from strokeflow.operators import sessions
 from strokeflow.plans import bindings as B
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +31,50 @@ def test_tiles_of_every_part(spark):
     parts = {r.p_partkey for r in B.read(spark, SF, "part").collect()}
     got = {(r.p_partkey, r.x0) for r in catalog.QUERIES["j17_tile_origins_whole"](spark, SF).collect()}
     assert got == {(p, min(352 * i, 1504)) for p in parts for i in range(6)} and len(parts) > 4
+
+
+def plausible(last, p):
+    return last is None or hypot(p[1] - last[1], p[2] - last[2]) <= 90 + 55 * (p[0] - last[0])
+
+
+def brute_chunks(points):
+    """Of (frame, x, y, inside, score): (first frame, last frame, frames, candidates, best frame, its score) of each chunk."""
+    chunks, last = [[]], None
+    for p in sorted(points, key=lambda p: p[0]):
+        if not plausible(last, p):
+            continue
+        if p[3]:
+            chunks[-1].append(p)
+            last = p
+        elif chunks[-1]:
+            chunks.append([])
+            last = None
+    out = []
+    for c in chunks:
+        found = [p for p in c if p[4] is not None]
+        if found:
+            best = max(found, key=lambda p: p[4])
+            out.append((c[0][0], c[-1][0], len(c), len(found), best[0], best[4]))
+    return out
+
+
+def test_chunks_end_at_the_gate(spark):
+    rows = [(1, 100.0, True, 0.5), (2, 120.0, True, 0.5), (3, 999.0, True, 9.0), (4, 150.0, False, None), (5, 900.0, True, 0.1), (6, 905.0, False, None), (7, 100.0, True, None)]
+    points = spark.createDataFrame([(1, f, x, 0.0, i, s) for f, x, i, s in rows], "run_id long, frame long, x double, y double, inside boolean, score double")
+    got = sorted(tuple(r)[1:] for r in sessions.wall_chunks(points, 90.0, 55.0).collect())
+    assert got == brute_chunks([(f, x, 0.0, i, s) for f, x, i, s in rows]) == [(1, 2, 2, 2, 1, 0.5), (5, 5, 1, 1, 5, 0.1)]
+
+
+def test_chunks_of_whole_runs(spark):
+    runs, accepted = defaultdict(list), set()
+    for r in B.track(spark, SF).filter("detected").collect():
+        runs[r.run_id].append((r.frame, r.x, r.y, 200 <= r.y <= 800, r.confidence if r.height > 3 else None))
+    for run, points in runs.items():
+        last = None
+        for p in sorted(points, key=lambda p: p[0]):
+            if plausible(last, p):
+                accepted.add((run, p[0]))
+                last = p
+    assert {tuple(r) for r in catalog.QUERIES["g13_plausible_chunks_whole"](spark, SF).collect()} == accepted and max(f for _, f in accepted) >= 300
+    got = sorted(tuple(r) for r in catalog.QUERIES["g13_front_wall_chunks"](spark, SF).collect())
+    assert got == sorted((run, *c) for run, points in runs.items() for c in brute_chunks(points))
