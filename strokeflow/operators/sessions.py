@@ -195,7 +195,7 @@ def first_observation(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
-def refine_windows(hits: DataFrame, radius: int, start: int, end: int) -> DataFrame:
+def refine_windows(hits: DataFrame, radius: int, start: int | Column, end: int | Column) -> DataFrame:
     """Frame windows around hits, clipped, with touching ones merged."""
     spans = hits.select(*KEY, F.greatest(F.col("frame") - radius, F.lit(start)).alias("start"), F.least(F.col("frame") + radius, F.lit(end)).alias("end"))
     return merge_intervals(spans.filter("start <= end"), bridge=1)

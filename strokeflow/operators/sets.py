@@ -18,7 +18,7 @@ def largest_session(rows: DataFrame, key: str, session: str) -> DataFrame:
     return rows.join(best, [key, session], "left_semi")
 
 
-def dilate(labels: DataFrame, k: int, low: int, high: int) -> DataFrame:
+def dilate(labels: DataFrame, k: int, low: int | Column, high: int | Column) -> DataFrame:
     """Frames within ``k`` of a label, clipped, once each."""
     return labels.select("run_id", F.explode(F.sequence(F.greatest(F.col("frame") - k, F.lit(low)), F.least(F.col("frame") + k, F.lit(high)))).alias("frame")).distinct()
 

@@ -33,6 +33,12 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` with the first_frame and last_frame of their run."""
+    w = Window.partitionBy("run_id")
+    return rows.withColumn("first_frame", F.min("frame").over(w)).withColumn("last_frame", F.max("frame").over(w))
+
+
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, frame (with gaps), t, x, y, width, height, detected, confidence; one run per supplier."""
     w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")

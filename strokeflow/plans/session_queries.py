@@ -107,6 +107,16 @@ def g07(spark, sf):
     return S.refine_windows(B.hits(spark, sf).filter("event_type = 'floor'"), 2, 1, 60)
 
 
+@register(
+    "g07_refine_windows_whole",
+    """WITH b AS (SELECT run_id, min(frame) AS low, max(frame) AS high FROM hits GROUP BY run_id), x AS (SELECT run_id, greatest(frame - 2, low) AS s, least(frame + 2, high) AS e FROM hits JOIN b USING (run_id) WHERE event_type = 'floor')
+      SELECT run_id, min(s) AS start, max(e) AS "end", count(*) AS parts FROM (SELECT *, sum(CASE WHEN s - reach > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY s, e) AS i FROM (
+      SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)) GROUP BY run_id, i""",
+)
+def g07_whole(spark, sf):
+    return S.refine_windows(B.bounded(B.hits(spark, sf)).filter("event_type = 'floor'"), 2, F.col("first_frame"), F.col("last_frame"))
+
+
 @register("g08_clamp_timeline")
 def g08(spark, sf):
     merged = S.merge_intervals(spans(spark, sf), 0.1).withColumn("n", F.col("parts"))

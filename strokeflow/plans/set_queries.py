@@ -45,6 +45,15 @@ def i02(spark, sf):
     return S.dilate(B.hits(spark, sf).filter("event_type = 'racket' AND frame <= 42"), 2, 1, 40)
 
 
+@register(
+    "i02_label_dilation_whole",
+    "WITH b AS (SELECT run_id, min(frame) AS low, max(frame) AS high FROM hits GROUP BY run_id) SELECT DISTINCT run_id, unnest(range(greatest(frame - 2, low), least(frame + 2, high) + 1)) AS frame FROM hits JOIN b USING (run_id) WHERE event_type = 'racket'",
+)
+def i02_whole(spark, sf):
+    labels = B.bounded(B.hits(spark, sf)).filter("event_type = 'racket'")
+    return S.dilate(labels, 2, F.col("first_frame"), F.col("last_frame"))
+
+
 @register("i03_set_difference", "SELECT run_id, frame FROM hits EXCEPT SELECT run_id, frame FROM front")
 def i03(spark, sf):
     h = B.hits(spark, sf)

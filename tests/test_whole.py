@@ -78,3 +78,15 @@ def test_chunks_of_whole_runs(spark):
     assert {tuple(r) for r in catalog.QUERIES["g13_plausible_chunks_whole"](spark, SF).collect()} == accepted and max(f for _, f in accepted) >= 300
     got = sorted(tuple(r) for r in catalog.QUERIES["g13_front_wall_chunks"](spark, SF).collect())
     assert got == sorted((run, *c) for run, points in runs.items() for c in brute_chunks(points))
+
+
+def test_labels_and_windows_reach_the_end_of_a_run(spark):
+    hits, ends = defaultdict(set), defaultdict(int)
+    for r in B.hits(spark, SF).collect():
+        ends[r.run_id] = max(ends[r.run_id], r.frame)
+        hits[r.run_id, r.event_type].add(r.frame)
+    near = lambda kind: {(run, g) for (run, k), fs in hits.items() if k == kind for f in fs for g in range(max(1, f - 2), min(ends[run], f + 2) + 1)}
+    got = [tuple(r) for r in catalog.QUERIES["i02_label_dilation_whole"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == near("racket") and max(f for _, f in got) > 42
+    got = catalog.QUERIES["g07_refine_windows_whole"](spark, SF).collect()
+    assert {(r.run_id, f) for r in got for f in range(r.start, r.end + 1)} == near("floor") and sum(r.parts for r in got) == sum(len(fs) for (_, k), fs in hits.items() if k == "floor")
