@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..streaming.sessions import stream_sessions
+from ..streaming.sessions import run_to_end
 
 
 @register("s1_stream_sessions")
 def s1(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"s{uuid.uuid4().hex}"
-    q = stream_sessions(events).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    whole = spark.read.schema(schema).parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return run_to_end(events, whole)

@@ -90,3 +90,18 @@ def test_labels_and_windows_reach_the_end_of_a_run(spark):
     assert len(got) == len(set(got)) and set(got) == near("racket") and max(f for _, f in got) > 42
     got = catalog.QUERIES["g07_refine_windows_whole"](spark, SF).collect()
     assert {(r.run_id, f) for r in got for f in range(r.start, r.end + 1)} == near("floor") and sum(r.parts for r in got) == sum(len(fs) for (_, k), fs in hits.items() if k == "floor")
+
+
+def test_stream_ends_with_every_session(spark):
+    times = defaultdict(list)
+    for r in B.read(spark, SF, "events").selectExpr("user_id", "unix_micros(cast(ts AS timestamp)) AS us").collect():
+        times[r.user_id].append(r.us)
+    want = []
+    for user, us in times.items():
+        us.sort()
+        for i, at in enumerate(us):
+            if i == 0 or at - us[i - 1] > 5 * 3600 * 10**6:
+                want.append([user, at, 0])
+            want[-1][2] += 1
+    got = catalog.QUERIES["s1_stream_sessions"](spark, SF).selectExpr("user_id", "unix_micros(start) AS us", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
