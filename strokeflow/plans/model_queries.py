@@ -18,19 +18,24 @@ def features(spark, sf) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(h)
 
 
+#: Rows that models do not learn from.
+HELD_OUT = "event_id % 4 = 0"
+
+
 def scored(model, rows: DataFrame) -> DataFrame:
+    """Every row's score, with whether the model has not seen it."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(rows).select("event_id", F.round(vector_to_array("probability")[1], 6).alias("probability"), F.col("prediction").cast("int").alias("predicted"))
+    return model.transform(rows).select("event_id", F.round(vector_to_array("probability")[1], 6).alias("probability"), F.col("prediction").cast("int").alias("predicted"), F.expr(HELD_OUT).alias("held_out"))
 
 
 @register("k01_boosted_trees")
 def k01(spark, sf):
     rows = features(spark, sf)
-    return scored(GBTClassifier(maxIter=5, maxDepth=3, seed=7).fit(rows.filter("event_id % 4 > 0")), rows.filter("event_id % 4 = 0"))
+    return scored(GBTClassifier(maxIter=5, maxDepth=3, seed=7).fit(rows.filter(f"NOT {HELD_OUT}")), rows)
 
 
 @register("k02_perceptron")
 def k02(spark, sf):
     rows = features(spark, sf)
-    return scored(MultilayerPerceptronClassifier(layers=[len(FEATURES), 6, 2], maxIter=20, seed=7).fit(rows.filter("event_id % 4 > 0")), rows.filter("event_id % 4 = 0"))
+    return scored(MultilayerPerceptronClassifier(layers=[len(FEATURES), 6, 2], maxIter=20, seed=7).fit(rows.filter(f"NOT {HELD_OUT}")), rows)

@@ -49,6 +49,13 @@ def b07(spark, sf):
     return S.upsert(e.filter("event_id % 2 = 0").select("event_id", F.lit("old").alias("payload")), new, ["event_id"])
 
 
+@register("b07_upsert_by_frame_whole", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'old' END AS payload FROM events WHERE event_id % 5 <> 0 OR event_id % 3 <> 0")
+def b07_whole(spark, sf):
+    e = B.read(spark, sf, "events")
+    new = e.filter("event_id % 5 = 0").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("payload"))
+    return S.upsert(e.select("event_id", F.lit("old").alias("payload")), new, ["event_id"])
+
+
 @register("b15_one_row_at_least", "SELECT run_id, f AS frame, event_id FROM (SELECT DISTINCT run_id, frame // 3 AS f FROM hits) LEFT JOIN (SELECT run_id, frame // 3 AS f, event_id FROM hits WHERE event_type = 'floor') USING (run_id, f)")
 def b15(spark, sf):
     h = B.hits(spark, sf).withColumn("f", F.floor(F.col("frame") / 3))

@@ -89,6 +89,13 @@ def i06(spark, sf):
     return new.unionByName(old.join(new, "event_id", "left_anti"))
 
 
+@register("i06_merge_cases_whole", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN call ELSE 'old' END AS call FROM hits")
+def i06_whole(spark, sf):
+    h = B.hits(spark, sf).select("event_id", "call")
+    new = h.filter("event_id % 3 = 0")
+    return new.unionByName(h.select("event_id", F.lit("old").alias("call")).join(new, "event_id", "left_anti"))
+
+
 @register(
     "i08_negative_sampling",
     """WITH ex AS (SELECT DISTINCT run_id, unnest(range(frame - 2, frame + 3)) AS frame FROM hits WHERE event_type = 'racket') SELECT run_id, frame FROM hits h WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.run_id = h.run_id AND ex.frame = h.frame)

@@ -6,6 +6,7 @@ from collections import defaultdict
 from math import hypot
 
 import numpy as np
+import pytest
 
 from strokeflow import catalog
 from strokeflow.operators import sessions
@@ -105,3 +106,18 @@ def test_stream_ends_with_every_session(spark):
             want[-1][2] += 1
     got = catalog.QUERIES["s1_stream_sessions"](spark, SF).selectExpr("user_id", "unix_micros(start) AS us", "n").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("name", ["k01_boosted_trees", "k02_perceptron"])
+def test_every_row_has_a_score(spark, name):
+    ids = sorted(r.event_id for r in B.read(spark, SF, "events").collect())
+    got = catalog.QUERIES[name](spark, SF).collect()
+    assert sorted(r.event_id for r in got) == ids and all(r.held_out == (r.event_id % 4 == 0) and 0 <= r.probability <= 1 for r in got)
+
+
+def test_merges_take_the_whole_old_side(spark):
+    ids = sorted(r.event_id for r in B.read(spark, SF, "events").collect())
+    got = catalog.QUERIES["i06_merge_cases_whole"](spark, SF).collect()
+    assert sorted(r.event_id for r in got) == ids and {r.event_id for r in got if r.call == "old"} == {i for i in ids if i % 3}
+    got = catalog.QUERIES["b07_upsert_by_frame_whole"](spark, SF).collect()
+    assert {r.event_id for r in got} == {i for i in ids if i % 5 or i % 3} and {r.event_id for r in got if r.payload == "old"} == {i for i in ids if i % 5}
