@@ -1,9 +1,11 @@
 """HTML extraction: flat text blocks, classified by a decision tree over word counts and link densities of neighbours.
 
 A page becomes a flat list of text blocks. Each block has its own and its
-neighbours' word count and link density, and what its containers say of
-themselves (part of an article, part of a menu and so on). A decision tree,
-grown by Gini impurity from the small labelled table below, keeps or drops it.
+neighbours' word count and link density, the share of the page's plain words
+that its container holds and that main parts beside it hold, and whether a container says that it is a menu, an
+advert and so on, or an article. A decision tree, grown by Gini impurity from
+the small labelled table below, keeps or drops it. Names are whole words of a
+class, or the first or last part of a compound (nav-wrapper, cookie-bar).
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ CLUTTER_TAGS = frozenset("nav header footer aside form menu dialog button select
 MAIN_TAGS = frozenset("article main".split())
 #: Elements whose names say what is in them (has-sidebar), not what they are.
 WHOLE_TAGS = MAIN_TAGS | {"html", "body"}
+#: Elements of one block of text; what they stand in holds it.
+LEAF_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr pre caption figcaption legend summary option".split())
 WRAPPED_TAGS = MAIN_TAGS | frozenset("div section table".split())
 CLUTTER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav widget widgets "
     "footer contentinfo masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments "
-    "discussion reply replies disqus respond responses login search searchbox pagination pager complementary alert alertdialog dialog copyright legal disclaimer toolbar skip outbrain taboola form".split()
+    "discussion reply replies disqus respond responses login search searchbox pagination pager complementary alert alertdialog dialog copyright disclaimer toolbar outbrain taboola".split()
 )
 HEADER_WORDS = frozenset("header topbar".split())
 MAIN_WORDS = frozenset("article main content entry story post".split())
@@ -42,118 +46,177 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([a-zA-Z][\w-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
+#: First parts of compounds that say what an element has, not what it is.
+HAS_WORDS = frozenset("has is no not with without".split())
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "clutter", "in_main", "main_elsewhere", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "share", "main_beside", "clutter", "in_main", "heading")
 
 #: The labelled table: FEATURES, then 1 to keep. Written by hand from the kinds of blocks that pages have.
 LABELLED = [
-    # words, density, before: words, density, after: words, density, clutter, in_main, main_elsewhere, heading, keep
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 0),
-    (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0, 0),
-    (9, 0.0, 1, 1.0, 11, 0.0, 1, 0, 1, 0, 0),
-    (11, 0.0, 75, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (16, 0.2, 120, 0.0, 0, 0.0, 1, 0, 0, 0, 0),
-    (60, 0.0, 90, 0.0, 40, 0.0, 1, 1, 0, 0, 0),
-    (40, 0.0, 60, 0.0, 35, 0.0, 1, 1, 0, 0, 0),
-    (12, 0.0, 45, 0.1, 30, 0.0, 1, 1, 0, 0, 0),
-    (120, 0.0, 9, 0.0, 80, 0.0, 1, 0, 1, 0, 0),
-    (150, 0.8, 9, 0.0, 80, 0.0, 1, 0, 1, 0, 0),
-    (160, 0.7, 5, 0.0, 60, 0.0, 1, 0, 0, 0, 0),
-    (25, 0.4, 30, 0.0, 20, 1.0, 1, 0, 0, 0, 0),
-    (3, 0.0, 120, 0.0, 50, 0.0, 1, 1, 0, 1, 0),
-    (11, 0.0, 9, 0.0, 75, 0.0, 0, 1, 0, 1, 1),
-    (4, 0.0, 9, 0.0, 4, 0.0, 0, 1, 0, 1, 1),
-    (75, 0.0, 11, 0.0, 8, 0.0, 0, 1, 0, 0, 1),
-    (1, 0.0, 123, 0.0, 9, 0.0, 0, 1, 0, 0, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 0, 1),
-    (9, 0.0, 1, 0.0, 11, 0.0, 0, 1, 0, 0, 1),
-    (30, 0.6, 40, 0.0, 40, 0.0, 0, 1, 0, 0, 1),
-    (5, 1.0, 40, 0.0, 40, 0.0, 0, 1, 0, 0, 1),
-    (400, 0.0, 10, 0.0, 8, 0.0, 0, 1, 0, 0, 1),
-    (8, 0.0, 400, 0.0, 12, 0.0, 0, 0, 1, 0, 0),
-    (30, 0.0, 6, 1.0, 10, 0.0, 0, 0, 1, 0, 0),
-    (90, 0.0, 3, 0.0, 10, 0.0, 0, 0, 1, 0, 0),
-    (6, 1.0, 2, 1.0, 10, 0.0, 0, 0, 1, 0, 0),
-    (5, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1, 0),
-    (60, 0.0, 5, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (45, 0.1, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
-    (20, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
-    (18, 0.0, 4, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (8, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 30, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1),
-    (7, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1, 1),
-    (2, 0.0, 3, 0.0, 40, 0.0, 0, 0, 0, 1, 1),
-    (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (12, 0.9, 5, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (30, 0.8, 4, 1.0, 5, 1.0, 0, 0, 0, 0, 0),
-    (6, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (4, 1.0, 45, 0.0, 60, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
-    # Clutter, unless it is long prose that no main part stands against.
-    (5, 0.0, 20, 0.0, 30, 0.0, 1, 1, 0, 0, 0),
-    (200, 0.0, 60, 0.0, 300, 0.0, 1, 0, 1, 0, 0),
-    (200, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (300, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1, 0, 0),
-    (170, 0.1, 5, 0.0, 8, 0.0, 1, 0, 1, 0, 0),
-    (250, 0.0, 300, 0.0, 20, 0.0, 1, 0, 1, 0, 0),
-    (160, 0.0, 20, 1.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (200, 0.0, 60, 0.0, 300, 0.0, 1, 0, 0, 0, 1),
-    (150, 0.1, 5, 0.0, 12, 0.0, 1, 0, 0, 0, 1),
-    (180, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
-    (170, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 0, 1),
-    (250, 0.1, 70, 0.0, 80, 0.0, 1, 1, 0, 0, 1),
-    (80, 0.1, 20, 0.0, 15, 0.0, 1, 0, 0, 0, 0),
-    (15, 0.0, 5, 0.0, 25, 0.0, 1, 1, 0, 1, 0),
-    (35, 0.0, 2, 0.0, 9, 0.0, 1, 0, 0, 0, 0),
-    (7, 1.0, 8, 1.0, 120, 0.0, 1, 1, 0, 0, 0),
+    # words, density, before: words, density, after: words, density, share, main_beside, clutter, in_main, heading, keep
+    (1, 1.0, 0, 0.0, 1, 1.0, 0.0, 0.8, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0.01, 0.0, 1, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 9, 0.0, 0.05, 0.3, 1, 0, 0, 0),
+    (9, 0.0, 1, 1.0, 11, 0.0, 0.2, 0.0, 1, 0, 0, 0),
+    (11, 0.0, 75, 0.0, 0, 0.0, 0.02, 0.8, 1, 0, 0, 0),
+    (16, 0.2, 120, 0.0, 0, 0.0, 0.4, 0.0, 1, 0, 0, 0),
+    (60, 0.0, 90, 0.0, 40, 0.0, 0.0, 0.0, 1, 1, 0, 0),
+    (40, 0.0, 60, 0.0, 35, 0.0, 0.01, 0.0, 1, 1, 0, 0),
+    (12, 0.0, 45, 0.1, 30, 0.0, 0.05, 0.0, 1, 1, 0, 0),
+    (120, 0.0, 9, 0.0, 80, 0.0, 0.2, 0.3, 1, 0, 0, 0),
+    (150, 0.8, 9, 0.0, 80, 0.0, 0.02, 0.0, 1, 0, 0, 0),
+    (160, 0.7, 5, 0.0, 60, 0.0, 0.4, 0.8, 1, 0, 0, 0),
+    (25, 0.4, 30, 0.0, 20, 1.0, 0.0, 0.0, 1, 0, 0, 0),
+    (3, 0.0, 120, 0.0, 50, 0.0, 0.01, 0.0, 1, 1, 1, 0),
+    (11, 0.0, 9, 0.0, 75, 0.0, 1.0, 0.0, 0, 1, 1, 1),
+    (4, 0.0, 9, 0.0, 4, 0.0, 0.9, 0.0, 0, 1, 1, 1),
+    (75, 0.0, 11, 0.0, 8, 0.0, 0.02, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 123, 0.0, 9, 0.0, 0.3, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 1, 0.0, 1, 0.0, 0.005, 0.0, 0, 1, 0, 1),
+    (9, 0.0, 1, 0.0, 11, 0.0, 0.6, 0.0, 0, 1, 0, 1),
+    (30, 0.6, 40, 0.0, 40, 0.0, 0.1, 0.0, 0, 1, 0, 1),
+    (5, 1.0, 40, 0.0, 40, 0.0, 1.0, 0.0, 0, 1, 0, 1),
+    (400, 0.0, 10, 0.0, 8, 0.0, 0.9, 0.0, 0, 1, 0, 1),
+    (8, 0.0, 400, 0.0, 12, 0.0, 0.005, 0.94, 0, 0, 0, 0),
+    (30, 0.0, 6, 1.0, 10, 0.0, 0.02, 0.93, 0, 0, 0, 0),
+    (90, 0.0, 3, 0.0, 10, 0.0, 0.08, 0.87, 0, 0, 0, 0),
+    (6, 1.0, 2, 1.0, 10, 0.0, 0.03, 0.0, 0, 0, 0, 0),
+    (5, 0.0, 0, 0.0, 60, 0.0, 0.01, 0.94, 0, 0, 1, 0),
+    (60, 0.0, 5, 0.0, 45, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (45, 0.1, 60, 0.0, 3, 1.0, 0.5, 0.0, 0, 0, 0, 1),
+    (20, 0.0, 45, 0.0, 70, 0.0, 0.08, 0.0, 0, 0, 0, 1),
+    (18, 0.0, 4, 0.0, 30, 0.0, 0.03, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 45, 0.0, 70, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 30, 0.0, 70, 0.0, 0.2, 0.0, 0, 0, 0, 1),
+    (6, 0.0, 2, 1.0, 60, 0.0, 1.0, 0.0, 0, 0, 1, 1),
+    (7, 0.0, 30, 0.0, 25, 0.0, 0.5, 0.0, 0, 0, 1, 1),
+    (2, 0.0, 3, 0.0, 40, 0.0, 0.08, 0.0, 0, 0, 1, 1),
+    (5, 1.0, 4, 1.0, 6, 1.0, 0.0, 0.0, 0, 0, 0, 0),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0.0, 0.0, 0, 0, 0, 0),
+    (12, 0.9, 5, 1.0, 3, 1.0, 0.0, 0.0, 0, 0, 0, 0),
+    (30, 0.8, 4, 1.0, 5, 1.0, 0.02, 0.0, 0, 0, 0, 0),
+    (6, 1.0, 60, 0.0, 4, 1.0, 0.0, 0.0, 0, 0, 0, 0),
+    (4, 1.0, 45, 0.0, 60, 0.0, 0.0, 0.0, 0, 0, 0, 0),
+    (3, 0.0, 2, 1.0, 4, 1.0, 0.0, 0.0, 0, 0, 0, 0),
+    (4, 0.0, 3, 0.0, 2, 1.0, 0.01, 0.94, 0, 0, 0, 0),
+    (5, 0.0, 2, 1.0, 0, 0.0, 0.0, 0.0, 0, 0, 0, 0),
+    # Clutter, unless it is most of the page.
+    (5, 0.0, 20, 0.0, 30, 0.0, 0.05, 0.0, 1, 1, 0, 0),
+    (200, 0.0, 60, 0.0, 300, 0.0, 0.2, 0.3, 1, 0, 0, 0),
+    (200, 0.0, 60, 0.0, 0, 0.0, 0.02, 0.0, 1, 0, 0, 0),
+    (300, 0.0, 0, 0.0, 60, 0.0, 0.4, 0.8, 1, 0, 0, 0),
+    (170, 0.1, 5, 0.0, 8, 0.0, 0.0, 0.0, 1, 0, 0, 0),
+    (250, 0.0, 300, 0.0, 20, 0.0, 0.01, 0.3, 1, 0, 0, 0),
+    (160, 0.0, 20, 1.0, 0, 0.0, 0.05, 0.0, 1, 0, 0, 0),
+    (200, 0.0, 60, 0.0, 300, 0.0, 0.8, 0.0, 1, 0, 0, 1),
+    (150, 0.1, 5, 0.0, 12, 0.0, 0.7, 0.0, 1, 0, 0, 1),
+    (180, 0.0, 0, 0.0, 0, 0.0, 0.7, 0.0, 1, 0, 0, 1),
+    (170, 0.0, 40, 0.0, 30, 0.0, 0.7, 0.0, 1, 1, 0, 1),
+    (250, 0.1, 70, 0.0, 80, 0.0, 0.8, 0.0, 1, 1, 0, 1),
+    (80, 0.1, 20, 0.0, 15, 0.0, 0.2, 0.8, 1, 0, 0, 0),
+    (15, 0.0, 5, 0.0, 25, 0.0, 0.02, 0.0, 1, 1, 1, 0),
+    (35, 0.0, 2, 0.0, 9, 0.0, 0.4, 0.0, 1, 0, 0, 0),
+    (7, 1.0, 8, 1.0, 120, 0.0, 0.0, 0.0, 1, 1, 0, 0),
     # In the main part: all of it.
-    (2, 0.0, 60, 0.0, 3, 0.0, 0, 1, 0, 0, 1),
-    (14, 0.0, 1, 1.0, 30, 0.0, 0, 1, 0, 0, 1),
-    (3, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 1),
-    (60, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0, 1),
-    (8, 1.0, 6, 1.0, 5, 1.0, 0, 1, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0, 1),
-    (150, 0.2, 2, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
-    (25, 0.0, 8, 0.0, 6, 0.0, 0, 1, 0, 0, 1),
-    (10, 0.9, 8, 0.0, 9, 0.0, 0, 1, 0, 0, 1),
-    (50, 0.0, 200, 0.0, 200, 0.0, 0, 1, 0, 0, 1),
-    # Outside a main part that the page has: long prose only.
-    (180, 0.0, 10, 0.0, 90, 0.0, 0, 0, 1, 0, 1),
-    (150, 0.1, 3, 0.0, 10, 0.0, 0, 0, 1, 0, 1),
-    (300, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 1),
-    (180, 0.8, 10, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    (150, 0.7, 3, 1.0, 10, 1.0, 0, 0, 1, 0, 0),
-    (70, 0.0, 10, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    (40, 0.0, 300, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
-    (12, 0.0, 20, 0.0, 15, 0.0, 0, 0, 1, 1, 0),
-    (200, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1, 0, 1),
-    (3, 0.0, 70, 0.0, 6, 0.0, 0, 0, 1, 0, 0),
-    (25, 0.1, 2, 1.0, 30, 0.1, 0, 0, 1, 0, 0),
-    (5, 1.0, 50, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
-    (18, 0.0, 8, 0.0, 9, 0.0, 0, 0, 1, 0, 0),
+    (2, 0.0, 60, 0.0, 3, 0.0, 0.02, 0.0, 0, 1, 0, 1),
+    (14, 0.0, 1, 1.0, 30, 0.0, 0.3, 0.0, 0, 1, 0, 1),
+    (3, 0.0, 1, 1.0, 1, 1.0, 0.005, 0.0, 0, 1, 1, 1),
+    (60, 0.0, 3, 1.0, 2, 1.0, 0.6, 0.0, 0, 1, 0, 1),
+    (8, 1.0, 6, 1.0, 5, 1.0, 0.1, 0.0, 0, 1, 0, 1),
+    (2, 1.0, 2, 1.0, 2, 1.0, 1.0, 0.0, 0, 1, 0, 1),
+    (150, 0.2, 2, 0.0, 0, 0.0, 0.9, 0.0, 0, 1, 0, 1),
+    (25, 0.0, 8, 0.0, 6, 0.0, 0.02, 0.0, 0, 1, 0, 1),
+    (10, 0.9, 8, 0.0, 9, 0.0, 0.3, 0.0, 0, 1, 0, 1),
+    (50, 0.0, 200, 0.0, 200, 0.0, 0.005, 0.0, 0, 1, 0, 1),
+    # Beside a main part: long prose only.
+    (180, 0.0, 10, 0.0, 90, 0.0, 0.4, 0.5, 0, 0, 0, 1),
+    (150, 0.1, 3, 0.0, 10, 0.0, 0.4, 0.5, 0, 0, 0, 1),
+    (300, 0.0, 60, 0.0, 0, 0.0, 0.4, 0.5, 0, 0, 0, 1),
+    (180, 0.8, 10, 0.0, 90, 0.0, 0.0, 0.95, 0, 0, 0, 0),
+    (150, 0.7, 3, 1.0, 10, 1.0, 0.0, 0.95, 0, 0, 0, 0),
+    (70, 0.0, 10, 0.0, 90, 0.0, 0.005, 0.94, 0, 0, 0, 0),
+    (40, 0.0, 300, 0.0, 0, 0.0, 0.02, 0.93, 0, 0, 0, 0),
+    (12, 0.0, 20, 0.0, 15, 0.0, 0.08, 0.87, 0, 0, 1, 0),
+    (200, 0.0, 40, 0.0, 50, 0.0, 0.4, 0.5, 0, 0, 0, 1),
+    (3, 0.0, 70, 0.0, 6, 0.0, 0.03, 0.92, 0, 0, 0, 0),
+    (25, 0.1, 2, 1.0, 30, 0.1, 0.01, 0.94, 0, 0, 0, 0),
+    (5, 1.0, 50, 0.0, 60, 0.0, 0.005, 0.94, 0, 0, 0, 0),
+    (18, 0.0, 8, 0.0, 9, 0.0, 0.02, 0.93, 0, 0, 0, 0),
     # Pages whose containers say nothing.
-    (14, 0.2, 3, 0.0, 8, 0.0, 0, 0, 0, 0, 1),
-    (11, 0.2, 2, 0.0, 9, 0.0, 0, 0, 0, 0, 1),
-    (40, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (30, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (25, 0.3, 12, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
-    (120, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 14, 0.0, 20, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 12, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (4, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (10, 0.8, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (3, 1.0, 20, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
-    (20, 0.9, 20, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
-    (4, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (2, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (14, 0.2, 3, 0.0, 8, 0.0, 0.03, 0.0, 0, 0, 0, 1),
+    (11, 0.2, 2, 0.0, 9, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (40, 0.0, 2, 1.0, 30, 0.0, 0.2, 0.0, 0, 0, 0, 1),
+    (30, 0.0, 3, 1.0, 0, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (25, 0.3, 12, 0.0, 3, 1.0, 0.5, 0.0, 0, 0, 0, 1),
+    (120, 0.0, 0, 0.0, 0, 0.0, 0.08, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 14, 0.0, 20, 0.0, 0.03, 0.0, 0, 0, 0, 1),
+    (6, 0.0, 12, 0.0, 0, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 40, 0.0, 2, 1.0, 0.2, 0.0, 0, 0, 0, 1),
+    (12, 0.0, 0, 0.0, 0, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 0, 0.0, 0.5, 0.0, 0, 0, 0, 1),
+    (10, 0.8, 30, 0.0, 2, 1.0, 0.04, 0.0, 0, 0, 0, 0),
+    (3, 1.0, 20, 0.0, 30, 0.0, 0.0, 0.0, 0, 0, 0, 0),
+    (20, 0.9, 20, 0.0, 30, 0.0, 0.0, 0.0, 0, 0, 0, 0),
+    (4, 1.0, 0, 0.0, 3, 1.0, 0.0, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 3, 1.0, 3, 1.0, 0.02, 0.93, 0, 0, 0, 0),
+    # Linked and short paragraphs of a page's one body of text.
+    (5, 1.0, 0, 0.0, 3, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (5, 1.0, 9, 0.0, 40, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (4, 1.0, 2, 0.0, 2, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 5, 1.0, 0, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 6, 1.0, 5, 1.0, 1.0, 0.0, 0, 0, 0, 1),
+    (12, 0.9, 8, 0.0, 8, 0.0, 1.0, 0.0, 0, 0, 0, 1),
+    (6, 0.0, 0, 0.0, 4, 1.0, 0.9, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 4, 1.0, 6, 1.0, 0.6, 0.0, 0, 0, 0, 1),
+    (7, 1.0, 30, 0.0, 25, 0.0, 0.6, 0.0, 0, 0, 0, 1),
+    (30, 0.0, 60, 0.0, 20, 1.0, 0.12, 0.0, 0, 0, 0, 1),
+    (45, 0.0, 45, 0.0, 50, 0.0, 0.1, 0.0, 0, 0, 0, 1),
+    (25, 0.0, 60, 0.0, 45, 0.0, 0.06, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 60, 0.0, 45, 0.0, 0.05, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 60, 0.0, 0.03, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 2, 0.0, 80, 0.0, 0.04, 0.0, 0, 0, 1, 1),
+    (5, 0.0, 1, 1.0, 12, 0.0, 0.02, 0.93, 0, 0, 0, 0),
+    (9, 0.0, 80, 0.0, 2, 1.0, 0.02, 0.93, 0, 0, 0, 0),
+    (14, 0.0, 70, 0.0, 0, 0.0, 0.03, 0.92, 0, 0, 0, 0),
+    (8, 0.0, 200, 0.0, 0, 0.0, 0.02, 0.93, 0, 0, 0, 0),
+    # In the main part, whatever surrounds it.
+    (2, 1.0, 2, 1.0, 2, 1.0, 0.01, 0.0, 0, 1, 0, 1),
+    (6, 1.0, 3, 0.0, 20, 0.0, 0.03, 0.0, 0, 1, 0, 1),
+    (30, 1.0, 0, 0.0, 3, 1.0, 0.02, 0.0, 0, 1, 0, 1),
+    (12, 0.8, 2, 1.0, 2, 1.0, 0.5, 0.0, 0, 1, 0, 1),
+    (40, 0.75, 5, 0.0, 40, 0.0, 0.9, 0.0, 0, 1, 0, 1),
+    (7, 0.8, 9, 0.0, 6, 0.0, 0.1, 0.0, 0, 1, 0, 1),
+    (3, 1.0, 1, 1.0, 30, 0.0, 0.0, 0.0, 0, 1, 1, 1),
+    (8, 0.0, 6, 0.0, 8, 0.0, 0.08, 0.0, 0, 1, 1, 1),
+    (4, 0.0, 10, 0.0, 12, 0.0, 0.07, 0.0, 0, 1, 0, 1),
+    (9, 0.2, 20, 0.0, 3, 0.0, 0.06, 0.0, 0, 1, 0, 1),
+    (2, 0.0, 2, 0.0, 2, 0.0, 0.09, 0.0, 0, 1, 0, 1),
+    (20, 0.0, 5, 0.0, 20, 0.0, 0.08, 0.0, 0, 1, 0, 1),
+    (60, 0.0, 20, 0.0, 13, 0.0, 0.07, 0.0, 0, 1, 0, 1),
+    (4, 0.0, 1, 0.0, 6, 1.0, 1.0, 0.0, 0, 1, 0, 1),
+    (6, 1.0, 4, 0.0, 30, 0.0, 1.0, 0.0, 0, 1, 0, 1),
+    (30, 0.0, 6, 1.0, 0, 0.0, 1.0, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 0, 0.0, 4, 0.0, 0.3, 0.0, 0, 1, 1, 1),
+    (3, 0.0, 9, 1.0, 9, 1.0, 0.05, 0.0, 0, 1, 0, 1),
+    (9, 1.0, 9, 1.0, 9, 1.0, 0.02, 0.0, 0, 1, 0, 1),
+    (120, 1.0, 3, 1.0, 3, 1.0, 0.05, 0.0, 0, 1, 0, 1),
+    (2, 1.0, 200, 0.0, 0, 0.0, 0.01, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0.01, 0.0, 0, 1, 0, 1),
+    (14, 0.5, 0, 0.0, 300, 1.0, 0.1, 0.0, 0, 1, 1, 1),
+    (60, 0.7, 5, 1.0, 5, 1.0, 0.0, 0.0, 0, 1, 0, 1),
+    (3, 1.0, 12, 0.0, 1, 1.0, 0.0, 0.0, 0, 1, 0, 1),
+    # Comments, adverts and footers of short pages.
+    (60, 0.0, 40, 0.0, 30, 0.0, 0.5, 0.0, 1, 1, 0, 0),
+    (45, 0.1, 60, 0.0, 0, 0.0, 0.45, 0.3, 1, 0, 0, 0),
+    (90, 0.0, 300, 0.0, 20, 0.0, 0.3, 0.0, 1, 0, 0, 0),
+    (5, 0.0, 1, 1.0, 12, 0.0, 0.5, 0.8, 1, 0, 0, 0),
+    (12, 0.0, 75, 0.0, 0, 0.0, 0.35, 0.0, 1, 0, 0, 0),
+    # Long clutter, beside a main part that is shorter.
+    (200, 0.0, 60, 0.0, 0, 0.0, 0.77, 0.23, 1, 0, 0, 0),
+    (150, 0.0, 45, 0.0, 80, 0.0, 0.8, 0.15, 1, 0, 0, 0),
+    (90, 0.1, 70, 0.0, 0, 0.0, 0.65, 0.35, 1, 0, 0, 0),
+    (300, 0.0, 100, 0.0, 12, 0.0, 0.7, 0.3, 1, 0, 0, 0),
 ]
 
 
@@ -187,6 +250,17 @@ def decide(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
+def _names(value: str) -> set[str]:
+    """Whole words of a class, and first and last parts of compounds."""
+    names = set()
+    for word in value.split():
+        parts = [p for p in _PARTS.split(word) if p]
+        names.add(word)
+        if len(parts) > 1 and parts[0] not in HAS_WORDS:
+            names |= {parts[0], parts[-1]}
+    return names
+
+
 def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
     """Whether a container is surely clutter, and whether it says that it is clutter, a header, a main part."""
     sure, header, main = tag in CLUTTER_TAGS and tag not in ("header", "form"), tag == "header", tag in MAIN_TAGS
@@ -195,7 +269,7 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role", "aria-label"):
-                names = set(_NAME.findall(value))
+                names = _names(value)
                 if tag not in WHOLE_TAGS:
                     said |= bool(names & CLUTTER_WORDS)
                     header |= bool(names & HEADER_WORDS) or (name == "role" and "banner" in names)
@@ -207,14 +281,16 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
     return sure, said, header, main and not sure and not said
 
 
-def _resolve(inside: list[tuple[int, bool, bool, bool, bool]], wraps: set[int], found: list[tuple]) -> tuple[list[bool], list[bool]]:
-    """Whether each container is clutter, and whether in the main part, with what the outer ones are.
+def _resolve(inside: list[tuple[int, bool, bool, bool, bool]], wraps: set[int], leaves: set[int], found: list[tuple]) -> tuple[list[bool], list[bool], list[float], float]:
+    """Whether each container is clutter, whether in the main part, with what the outer ones are, and what share of the page's plain words it holds; then the share of all main parts.
 
     ``inside`` has a container's outer one, which comes before it, and its kind;
     ``found`` has blocks as (text, words, words in links, container, heading). A
     container that says it is clutter but wraps most of the page, with next to
     no main part elsewhere, is not clutter. A page has a main part if its
-    main containers hold most of its text that is not clutter.
+    main containers hold most of its text that is not clutter. Plain words are
+    those outside links; what a main part holds does not count for the
+    containers around it.
     """
     n = len(inside)
 
@@ -245,17 +321,29 @@ def _resolve(inside: list[tuple[int, bool, bool, bool, bool]], wraps: set[int],
     words = sum(b[1] for b in found if not clutter[b[3]])
     if 2 * sum(b[1] for b in found if not clutter[b[3]] and in_main[b[3]]) <= words:
         clutter, in_main = settle(wrappers, False)
-    return clutter, in_main
-
-
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, clutter, in_main, heading) of each block with text, in page order."""
+    holder = list(range(n))
+    for i in sorted(leaves):
+        holder[i] = holder[inside[i][0]]
+    plain = [0] * n
+    for b in found:
+        plain[holder[b[3]]] += b[1] - b[2]
+    whole = max(1, sum(plain))
+    in_mains = sum(x for x, main in zip(plain, in_main) if main)
+    for i in range(n - 1, 0, -1):
+        if in_main[inside[i][0]] or not in_main[i]:
+            plain[inside[i][0]] += plain[i]
+    return clutter, in_main, [plain[i] / whole for i in holder], in_mains / whole
+
+
+def blocks(html: str) -> list[tuple[str, int, int, float, float, bool, bool, bool]]:
+    """(text, words, words in links, share, main_beside, clutter, in_main, heading) of each block with text, in page order."""
     out: list[tuple] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int]] = [("", 0)]  # tag, container
     inside: list[tuple] = [(0, False, False, False, False)]  # of each container: the outer one, and its kind
     wraps: set[int] = set()  # containers with further ones for text
+    leaves: set[int] = set()
     link = heading = False
 
     def close_block() -> None:
@@ -315,6 +403,8 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 if tag in WRAPPED_TAGS:
                     wraps.add(stack[-1][1])
                 inside.append((stack[-1][1], *kind))
+                if tag in LEAF_TAGS:
+                    leaves.add(len(inside) - 1)
                 stack.append((tag, len(inside) - 1))
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = True
@@ -322,21 +412,21 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             sure, said, _, _ = _kind(tag, attrs)
             if sure or said:
                 inside.append((stack[-1][1], sure, said, False, False))
+                leaves.add(len(inside) - 1)
                 stack.append(("p", len(inside) - 1))
         if tag == "p" and not closing and not attrs and stack[-1][0] == "p":
             stack.pop()
     close_block()
-    clutter, in_main = _resolve(inside, wraps, out)
-    return [(text, words, in_links, clutter[of], in_main[of], heading) for text, words, in_links, of, heading in out]
+    clutter, in_main, share, mains = _resolve(inside, wraps, leaves, out)
+    return [(text, words, in_links, share[of], 0.0 if in_main[of] else mains, clutter[of], in_main[of], heading) for text, words, in_links, of, heading in out]
 
 
 def extract(html: str | None, tree: tuple | int) -> str:
     found = blocks(html or "")
-    any_main = any(b[4] and not b[3] for b in found)
     around = [(0, 0.0), *((b[1], b[2] / b[1]) for b in found), (0, 0.0)]
     kept = []
-    for i, (text, words, in_links, clutter, main, heading) in enumerate(found):
-        row = (words, in_links / words, *around[i], *around[i + 2], clutter, main, any_main and not main, heading)
+    for i, (text, words, in_links, *rest) in enumerate(found):
+        row = (words, in_links / words, *around[i], *around[i + 2], *rest)
         if decide(tree, row):
             kept.append(text)
     return "\n".join(kept)
