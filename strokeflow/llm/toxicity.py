@@ -22,9 +22,6 @@ from .storage import table
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
-#: Buckets that own a vector, at most, and their least z.
-KNOWN = 4096
-LEAST_Z = 5.0
 #: Training texts whose bags are held at a time.
 SLICE = 128
 DIM = 8
@@ -61,44 +58,27 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.01, decay: float = 1e-2, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Adam over embeddings and softmax together; returns the folded weight of each bucket and the bias.
+def _apart(held: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket, from the texts of each class that hold it: a two-sample z, and the absolute log odds ratio."""
+    share = (held.sum(0) + 1) / (n.sum() + 2)
+    z = (held[1] / n[1] - held[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
+    odds = np.abs(np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1)))
+    return np.abs(z), odds
+
+
+def _fit(x: np.ndarray, labels: np.ndarray, odds: np.ndarray, steps: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+    """Adam over embeddings and softmax together; the folded weight of each column of ``x`` and the bias.
 
-    Only the at most ``KNOWN`` buckets whose presence tells the classes apart
-    (by a two-sample z of ``LEAST_Z``) own a vector, so the design matrix is at
-    most sample rows times ``KNOWN`` numbers. Columns have a standard deviation
-    of their absolute log odds ratio, so that the steps favour telling buckets.
+    Columns are brought to a standard deviation of their absolute log odds
+    ratio, so that the steps favour telling buckets.
     """
-    if len(texts) == 0 or labels.min() == labels.max():
-        prior = float(labels.mean()) if len(labels) else 0.0
-        return np.zeros(BUCKETS), 30.0 * (2 * prior - 1) if len(labels) else -30.0
-    # Bags are made twice, a slice of texts at a time, so that only the design matrix is held whole.
-    slices = [slice(i, i + SLICE) for i in range(0, len(texts), SLICE)]
-    n = np.bincount(labels, minlength=2)
-    held = np.zeros((2, BUCKETS), np.int64)
-    for part in slices:
-        for (idx, _), y in zip(bags(texts[part]), labels[part]):
-            held[y, idx] += 1
-    share = (held[0] + held[1] + 1) / (len(texts) + 2)
-    z = (held[1] / n[1] - held[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-    known = np.argsort(-np.abs(z), kind="stable")[:KNOWN]
-    known = known[np.abs(z[known]) >= LEAST_Z]
-    odds = np.abs(np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1)))[known]
-    place = np.full(BUCKETS, -1)
-    place[known] = np.arange(len(known))
-    x = np.zeros((len(texts), len(known)), np.float32)
-    for part in slices:
-        for row, (idx, val) in zip(range(part.start, part.stop), bags(texts[part])):
-            at = place[idx]
-            x[row, at[at >= 0]] = val[at >= 0]
-    scale = odds / np.maximum(x.std(0), 1e-7)
+    scale = (odds / np.maximum(x.std(0), 1e-7)).astype(np.float32)
     mean = x.mean(0)
-    x -= mean
-    x *= scale
+    x = (x - mean) * scale
     rng = np.random.default_rng(seed)
     y = np.eye(2, dtype=np.float32)[labels]
     params = [
-        rng.normal(0, 1 / np.sqrt(max(1, len(known))), (len(known), DIM)).astype(np.float32),
+        rng.normal(0, 1 / np.sqrt(max(1, x.shape[1])), (x.shape[1], DIM)).astype(np.float32),
         rng.normal(0, 1 / np.sqrt(DIM), (DIM, 2)).astype(np.float32),
         np.log(y.mean(0)),
     ]
@@ -115,9 +95,72 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float =
             v[i] = 0.99 * v[i] + 0.01 * d * d
             params[i] = params[i] - rate / (1 + step / 50) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
     fold = (params[0] @ (params[1][:, 1] - params[1][:, 0])) * scale
+    return fold, float(params[2][1] - params[2][0] - mean @ fold)
+
+
+def _least_z(x: np.ndarray, labels: np.ndarray, options: tuple[float, ...], folds: int, **fit) -> float:
+    """The one of ``options`` with the least error over ``folds`` parts of the sample, each judged by a model of the others; the largest of equals.
+
+    Both classes weigh the same, or no model at all would do best where one class is rare.
+    """
+    if len(options) == 1:
+        return options[0]
+    part = np.empty(len(labels), int)
+    for c in (0, 1):
+        of = np.flatnonzero(labels == c)
+        part[of] = np.arange(len(of)) % folds
+    loss = np.zeros(len(options))
+    for f in range(folds):
+        own, rest = part == f, part != f
+        n = np.bincount(labels[rest], minlength=2)
+        if n.min() == 0:
+            continue
+        z, odds = _apart(np.stack([(x[rest & (labels == c)] > 0).sum(0) for c in (0, 1)]), n)
+        for i, least in enumerate(options):
+            at = np.flatnonzero(z >= least)
+            weight, bias = _fit(x[np.ix_(rest, at)], labels[rest], odds[at], **fit)
+            wrong = (x[np.ix_(own, at)] @ weight + bias >= 0) != (labels[own] == 1)
+            loss[i] += (wrong / np.bincount(labels, minlength=2)[labels[own]]).sum()
+    return max(o for o, l in zip(options, loss) if l <= loss.min() * (1 + 1e-9))
+
+
+def train(
+    texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.01, decay: float = 1e-2, seed: int = 7,
+    known: int = 4096, least_z: tuple[float, ...] = (5.0, 4.0, 3.0, 2.0), folds: int = 3,
+) -> tuple[np.ndarray, float]:
+    """The folded weight of each bucket and the bias, from labelled texts (labels 0 and 1).
+
+    Buckets whose presence tells the classes apart by a two-sample z own a
+    vector, the ``known`` most telling ones at most, so the design matrix is at
+    most sample rows times ``known`` numbers. How large z has to be is the one
+    of ``least_z`` that cross-validation in ``folds`` parts prefers: many labels
+    can afford a strict choice, few labels need a lenient one.
+    """
+    if len(texts) == 0 or labels.min() == labels.max():
+        prior = float(labels.mean()) if len(labels) else 0.0
+        return np.zeros(BUCKETS), 30.0 * (2 * prior - 1) if len(labels) else -30.0
+    # Bags are made twice, a slice of texts at a time, so that only the design matrix is held whole.
+    slices = [slice(i, i + SLICE) for i in range(0, len(texts), SLICE)]
+    n = np.bincount(labels, minlength=2)
+    held = np.zeros((2, BUCKETS), np.int64)
+    for part in slices:
+        for (idx, _), y in zip(bags(texts[part]), labels[part]):
+            held[y, idx] += 1
+    z, odds = _apart(held, n)
+    telling = np.argsort(-z, kind="stable")[:known]
+    telling = telling[z[telling] >= min(least_z)]
+    place = np.full(BUCKETS, -1)
+    place[telling] = np.arange(len(telling))
+    x = np.zeros((len(texts), len(telling)), np.float32)
+    for part in slices:
+        for row, (idx, val) in zip(range(part.start, part.stop), bags(texts[part])):
+            at = place[idx]
+            x[row, at[at >= 0]] = val[at >= 0]
+    least = _least_z(x, labels, least_z, folds, steps=steps // 2, rate=rate, decay=decay, seed=seed)
+    some = z[telling] >= least
     weight = np.zeros(BUCKETS)
-    weight[known] = fold
-    return weight, float(params[2][1] - params[2][0] - mean @ fold)
+    weight[telling[some]], bias = _fit(x[:, some], labels, odds[telling[some]], steps, rate, decay, seed)
+    return weight, bias
 
 
 def score_texts(texts: list[str | None], weight: np.ndarray, bias: float) -> np.ndarray:
@@ -132,31 +175,39 @@ def score_texts(texts: list[str | None], weight: np.ndarray, bias: float) -> np.
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
-    """About ``max_rows`` labelled texts of at most ``max_bytes``, chosen by a hash of doc_id; what reaches the driver is bounded by both."""
-    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    n = labels.count()
-    share = min(1.0, max_rows / max(1, n))
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """About ``max_rows`` labelled texts of at most ``max_bytes``, chosen by hashes; what reaches the driver is bounded by both.
+
+    Equal texts with the same label are one example, whichever rows hold them.
+    """
+    share = lambda n: int(min(1.0, max_rows / max(1, n)) * (1 << 62))
+    below = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 62))
+    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    chosen = labels.filter(below("doc_id", F.lit(1)) <= share(labels.count()))
     rows = (
         docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most about max_rows rows of two numbers
-        .select("text", "toxic").toPandas()
+        .select("doc_id", "text", "toxic")
     )
+    # A labelled doc_id may have any number of texts.
+    rows = rows.filter(below("doc_id", "text", F.lit(2)) <= share(rows.count())).select("text", "toxic").distinct().toPandas()
     # Whatever order the rows arrive in, training sees one.
-    order = sorted(range(len(rows)), key=lambda i: hashlib.md5(rows.text[i].encode()).digest())
+    order = sorted(range(len(rows)), key=lambda i: (hashlib.md5(rows.text[i].encode()).digest(), rows.toxic[i]))
     return [rows.text[i] for i in order], rows.toxic.to_numpy(np.int64)[order]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int = 1 << 15) -> DataFrame:
-    """Adds ``score`` (0 to 1) to ``docs`` (text and anything else), trained on ``labels`` (doc_id, toxic).
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int = 1 << 15, column: str = "score", **training) -> DataFrame:
+    """Adds ``column`` (0 to 1) to ``docs`` (text and anything else), trained on ``labels`` (doc_id, toxic).
 
-    The training rows are a documented bounded sample: ``max_rows`` labelled
-    texts of at most ``max_bytes`` each. Scores use the text alone. Null and
+    The training rows are a documented bounded sample: about ``max_rows``
+    labelled texts of at most ``max_bytes`` each; ``training`` are the parameters
+    of :func:`train`. Scores use the text alone, read whole. Null and
     empty texts get the score of no evidence, the model's prior; without
     labels of both classes the score is a constant near that class. Rows with
-    a null label teach nothing. Columns named ``score`` are replaced.
+    a null label teach nothing; equal texts with the same label teach once.
+    Equal texts have equal scores. A column of the name ``column`` is replaced,
+    all others stay. No rows give no rows.
     """
-    weight, bias = train(*training_sample(docs, labels, max_rows, max_bytes))
+    weight, bias = train(*training_sample(docs, labels, max_rows, max_bytes), **training)
     held = docs.sparkSession.sparkContext.broadcast((weight.astype(np.float32), bias))  # BUCKETS numbers
 
     @F.pandas_udf("double")
@@ -165,7 +216,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max
         for texts in batches:
             yield pd.Series(score_texts(list(texts), weight, bias))
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn(column, score(F.col("text").cast("string")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
