@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .storage import table
+from .storage import materialize, table
 
 #: Lengths of n-grams, in the order of the fallback.
 GRAMS = (5, 4, 3, 2, 1)
@@ -37,14 +37,19 @@ def counted(texts: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def count_sample(docs: DataFrame, lang: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """lang, n, hash, count over about ``max_rows`` texts per language of at most ``max_bytes`` each, chosen by a hash of doc_id."""
-    eligible = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    sizes = eligible.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
-    keep = sizes.select("_lang", F.least(F.lit(1.0), max_rows / F.col("_n")).alias("_share")).limit(1000)
+    """lang, n, hash, count over about ``max_rows`` texts per language of at most ``max_bytes`` each, chosen by a hash of doc_id and text.
+
+    Of a language whose texts are all longer, the shortest ones are eligible.
+    """
+    size = F.octet_length("text")
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(lang).alias("_lang"))
+    sizes = labelled.groupBy("_lang").agg(F.min(size).alias("_shortest"), F.count_if(size <= max_bytes).alias("_short"))
+    sizes = materialize(sizes.select("_lang", F.greatest("_shortest", F.lit(max_bytes)).alias("_most"), F.least(F.lit(1.0), max_rows / F.greatest("_short", F.lit(1))).alias("_share")), "lang-sizes")
+    few = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    share = F.when(F.col("_most") > max_bytes, 1.0).otherwise(F.col("_share"))
     chosen = (
-        eligible.select("doc_id", "text", F.col(lang).alias("_lang"))
-        .join(F.broadcast(keep), "_lang")  # at most 1000 languages, of two numbers each
-        .filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+        labelled.join(few, "_lang").filter(size <= F.col("_most"))
+        .filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(1 << 52)) < share * (1 << 52))
         .select("_lang", "text")
     )
 
@@ -123,16 +128,26 @@ class Model:
         return [self.langs[b] if s else UNDETERMINED for b, s in zip(best, some)], np.where(some, p[np.arange(len(best)), best], 0.0)
 
 
-def learn(docs: DataFrame, lang: str = "lang", max_rows: int = 1500, max_bytes: int = 1 << 15, max_words: int = 20_000, max_grams: int = 10_000) -> Model:
-    """The model of ``docs`` (doc_id, text, lang): what reaches the driver is the commonest words and n-grams, bounded by the last two."""
-    from pyspark.sql import Window
-
-    from .storage import materialize
+def learn(
+    docs: DataFrame, lang: str = "lang", max_rows: int = 1500, max_bytes: int = 1 << 15, max_words: int = 20_000, max_grams: int = 10_000, max_cells: int = 1 << 26
+) -> Model:
+    """The model of ``docs`` (doc_id, text, lang), from a bounded sample of labelled rows.
 
+    About ``max_rows`` texts of each language are counted, of at most
+    ``max_bytes`` (where a language has none so short, its shortest ones).
+    The model knows the ``max_words`` commonest words and the ``max_grams``
+    commonest n-grams of each length per language; all others fall back. It is a
+    table of hashes by languages, and where those caps would make it larger than
+    ``max_cells`` numbers, they shrink alike for all languages: every language
+    is learned, however many there are. A null language teaches nothing.
+    """
     counts = materialize(count_sample(docs, lang, max_rows, max_bytes), "lang-counts")
-    totals = counts.groupBy("lang", "n").agg(F.sum("count").alias("total")).toPandas()
+    n_langs = max(1, counts.select("lang").distinct().count())
+    shrink = min(1.0, max_cells / (n_langs * n_langs * (max_words + len(GRAMS) * max_grams)))
+    words, grams = (max(1, int(cap * shrink)) for cap in (max_words, max_grams))
+    totals = counts.groupBy("lang", "n").agg(F.sum("count").alias("total")).toPandas()  # a row per language and length
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "hash"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("n") == 0, words).otherwise(grams))
     return Model(top.select("lang", "n", "hash", "count").toPandas(), totals)
 
 
@@ -141,7 +156,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the text counts. A text that is null or without a letter is ``und``
     with score 0, and so is every text if the model learned from no row. Ties
-    go to the first language by code point. Texts are read whole.
+    go to the first language by code point. Texts are read whole; equal texts
+    get equal results. Columns of the names ``lang_pred`` and ``score`` are
+    replaced, all others stay, whatever their names. No rows give no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams per language
 
@@ -151,8 +168,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = held.value.predict(list(texts))
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    got = docs.drop("lang_pred", "score").withColumn("_p", predict(F.col("text").cast("string")))
-    return got.select("*", "_p.lang_pred", "_p.score").drop("_p")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    got = docs.select(F.struct(*rest).alias("rest"), predict(F.col("text").cast("string")).alias("found"))
+    return got.select("rest.*", "found.*")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
