@@ -22,7 +22,9 @@ class ChatTemplate:
     ``escapes`` maps a character that a marker begins with (or the escape
     character itself, last) to the letter that stands for it after
     ``escape_char``. Escaped text therefore holds no marker character at all,
-    so a split at the markers is exact and the mapping is reversible.
+    so a split at the markers is exact and the mapping is reversible. A
+    template whose marker begins with a character that has no escape, or whose
+    escapes are ambiguous, is refused.
     """
 
     turn_start: str = "### "
@@ -42,6 +44,16 @@ class ChatTemplate:
         }
     )
 
+    def __post_init__(self) -> None:
+        chars, letters = [c for c, _ in self.escapes], [x for _, x in self.escapes]
+        for marker in (self.turn_start, self.role_end, self.turn_end):
+            if not marker or marker[0] not in chars:
+                raise ValueError(f"no escape for the first character of the marker {marker!r}")
+        if len({*chars}) < len(chars) or len({*letters}) < len(letters) or any(len(x) != 1 for x in (*chars, *letters)):
+            raise ValueError("escapes are pairs of one character and one letter, each used once")
+        if not chars or chars[-1] != self.escape_char or {*chars} & {*letters}:
+            raise ValueError("the escape character is escaped last, and no letter is an escaped character")
+
     def escape(self, text: Column) -> Column:
         """The escape character first, then the others."""
         for char, letter in reversed(self.escapes):
@@ -106,7 +118,7 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
     """Undo :func:`format_conversations` from the emitted text alone: adds ``formatted``, ``turns_read`` and ``loss_text``."""
     t = template
     whole = formatted.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
-    parts = F.split("formatted", t.turn_end, -1)
+    parts = F.split("formatted", "\\Q" + t.turn_end.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
     read = F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
         lambda p: F.struct(
