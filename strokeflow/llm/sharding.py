@@ -66,42 +66,46 @@ def unpermute(places: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 
 def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """Adds ``row_number`` from 0 in the order of ``order``; and the count of rows.
+    """``row`` (a struct of the columns of ``rows``) and ``row_number`` from 0 in the order of ``order``; and the count of rows.
 
     The rows are range-partitioned once and written; what is left is one count
-    per partition. Equal rows are interchangeable, so an input position breaks
-    their ties when ranges are cut and a hot key spreads over many ranges.
+    per partition. A hash of the whole row breaks ties of ``order``. Equal rows
+    are interchangeable, so an input position breaks theirs when ranges are cut,
+    and a hot key spreads over many ranges.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    keyed = rows.select(F.struct("*").alias("row"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)], F.xxhash64(*hashed).alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    keys = [F.col(c).asc_nulls_first() for c in keyed.columns[1:]]
+    ranged = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("row")
     at = F.monotonically_increasing_id()
-    placed = materialize(ranged.drop("_tie").withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_at", at.bitwiseAND((1 << 33) - 1)), "numbered")
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    numbered = placed.join(F.broadcast(starts), "_part")  # one row per range partition
-    return numbered.withColumn("row_number", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start"), total
+    placed = materialize(ranged.select("row", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at")), "numbered")
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    numbered = placed.join(F.broadcast(starts), "part")  # one row per range partition
+    return numbered.select("row", (F.col("start") + F.col("at")).alias("row_number")), total
 
 
 def assign_shards(rows: DataFrame, shards: int, order: list[str], seed: int = 0) -> DataFrame:
-    """``rows`` with ``shard`` (int) and ``slot`` (long); law ``rows``: shard sizes differ by one at most.
+    """``rows`` with ``row_number`` (long), ``shard`` (int) and ``slot`` (long); law ``rows``: shard sizes differ by one at most.
 
     The same rows, seed and number of shards give the same placement, however
-    the input is partitioned. Nulls in ``order`` come first. Equal rows get
-    places of their own. An empty table gives an empty result.
+    the input is partitioned: rows stand in the order of ``order``, then of a
+    hash of all their columns. Nulls in ``order`` come first. Equal rows get
+    places of their own. Columns of the three names are replaced, all others
+    stay, whatever their names. An empty table gives an empty result.
     """
-    numbered, total = number_rows(rows.drop("shard", "slot", "row_number"), order)
+    given = [c for c in rows.columns if c not in ("row_number", "shard", "slot")]
+    numbered, total = number_rows(rows.select(*[F.col(f"`{c}`") for c in given]), order)
 
     @F.pandas_udf("long")
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for numbers in batches:
             yield pd.Series(permute(numbers.to_numpy(), total, seed))
 
-    return (
-        numbered.withColumn("_place", place("row_number"))
-        .withColumn("shard", (F.col("_place") % shards).cast("int")).withColumn("slot", F.floor(F.col("_place") / shards).cast("long")).drop("_place")
-    )
+    placed = numbered.withColumn("place", place("row_number"))
+    return placed.select("row.*", "row_number", (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
