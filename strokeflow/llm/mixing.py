@@ -62,19 +62,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
 
     ``taken`` is the document's size times the copies that the mix takes (0 to
     ``max_repeats``). The shuffled order within a source is that of the md5 of
-    seed and doc_id, so reruns and other partitionings agree. Rows that are
-    equal in doc_id and size are interchangeable and are taken together. Null
-    or empty texts have size 0; a source of such texts has target 0 and takes
-    nothing. An empty table gives an empty result.
+    seed and doc_id, then of size, so reruns and other partitionings agree. Rows
+    that are equal in doc_id, source and size, null ones too, are
+    interchangeable: it is defined how many copies they get in all, not which of
+    them. Null or empty texts have size 0; a source of such texts has target 0
+    and takes nothing. Texts are read whole. An empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _mixed(sizes, weights, max_repeats, seed).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def _first_over(sums: DataFrame, by: str, start: int, budget: int) -> tuple[int, int] | None:
+    """The first ``by`` at which the running sum of ``size`` from ``start`` passes ``budget``, and the sum before it."""
+    upto = sums.withColumn("upto", F.sum("size").over(Window.orderBy(by)) + F.lit(start))
+    found = upto.filter(F.col("upto") > budget).orderBy(by).select(by, (F.col("upto") - F.col("size")).alias("before")).first()
+    return None if found is None else (found[by], found["before"])
+
+
+def _mixed(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str) -> DataFrame:
+    """``sizes`` (doc_id, source, size, and uid or nothing) with source_size, target and copies."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     base = materialize(
-        docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"),
-            F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("src"),
-        ),
-        "mix-base",
-    )
+        sizes.select("*", key.alias("key"), F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("src")), "mix-base"
+    )
     ranges = max(1, base.count() // ROWS_PER_RANGE)
     base = base.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("long"))
     sums = base.groupBy("no_source", "src", "range").agg(F.sum("size").alias("range_size"))
@@ -87,13 +98,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     starts = starts.join(targets.withColumnRenamed("source", "src"), ["no_source", "src"])
     within = Window.partitionBy("no_source", "src", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     queue = base.withColumn("running", F.sum("size").over(within)).join(starts, ["no_source", "src", "range"])
-    queue = materialize(
-        queue.select(
-            "doc_id", "source", "size", "key", "no_source", "src", "source_size", "target",
-            (F.col("range_start") + F.col("running")).alias("cumulative"),
-        ),
-        "mix-queue",
-    )
+    queue = materialize(queue.withColumn("cumulative", F.col("range_start") + F.col("running")).drop("range", "range_start", "running"), "mix-queue")
 
     def finish(copy: Column) -> Column:
         return F.when(F.col("target") > 0, (copy * F.col("source_size") + F.col("cumulative")).cast("double") / F.col("target"))
@@ -103,47 +108,49 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     copies = queue.filter("target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("copy"))
     copies = copies.withColumn("time", finish(F.col("copy"))).withColumn("slot", slot(F.col("time")))
     budget = queue.agg(F.sum("size")).first()[0] or 0
-    by_slot = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    upto = by_slot.withColumn("upto", F.sum("slot_size").over(Window.orderBy("slot")))
-    cut = upto.filter(F.col("upto") > budget).orderBy("slot").select("slot", (F.col("upto") - F.col("slot_size")).alias("start")).first()
+    # The cut is looked for among spans of slots, then among the slots of one span: two windows over about the square root of all slots.
+    by_slot = materialize(copies.groupBy("slot").agg(F.sum("size").alias("size")), "mix-slots")
+    wide = max(1, int(slices**0.5))
+    spans = by_slot.groupBy(F.floor(F.col("slot") / wide).cast("long").alias("span")).agg(F.sum("size").alias("size"))
+    cut = _first_over(spans, "span", 0, budget)
+    if cut is not None:
+        low = cut[0] * wide
+        cut = _first_over(by_slot.filter(F.col("slot").between(low, low + wide - 1)), "slot", cut[1], budget)
     place = F.struct("time", "no_source", "src", "key", "size")
     if cut is None:
         taken = F.lit(max_repeats)
     else:
-        ordered = copies.filter(F.col("slot") == cut["slot"]).select(place.alias("place"), "size")
+        ordered = copies.filter(F.col("slot") == cut[0]).select(place.alias("place"), "size")
         last = (
-            ordered.withColumn("upto", F.sum("size").over(Window.orderBy("place")) + F.lit(cut["start"]))
+            ordered.withColumn("upto", F.sum("size").over(Window.orderBy("place")) + F.lit(cut[1]))
             .filter(F.col("upto") <= budget).agg(F.max("place").alias("place")).first()["place"]
         )
 
         def is_taken(copy: int) -> Column:
             time = finish(F.lit(copy))
-            yes = slot(time) < cut["slot"]
+            yes = slot(time) < cut[0]
             if last is not None:
                 mine = F.struct(time.alias("time"), "no_source", "src", "key", "size")
                 at = F.struct(*[F.lit(last[c]).cast(t).alias(c) for c, t in (("time", "double"), ("no_source", "int"), ("src", "string"), ("key", "string"), ("size", "long"))])
-                yes = yes | ((slot(time) == cut["slot"]) & (mine <= at))
+                yes = yes | ((slot(time) == cut[0]) & (mine <= at))
             return F.coalesce(yes, F.lit(False)).cast("int")
 
         taken = sum((is_taken(c) for c in range(1, max_repeats)), is_taken(0))
-    return queue.select("doc_id", "size", "source", "source_size", F.col("target"), (F.col("size") * taken).cast("long").alias("taken"))
+    return queue.select(*sizes.columns, "source_size", "target", taken.cast("int").alias("copies"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as many times as :func:`mix_sources` takes it, with the columns of ``docs``.
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as :func:`mix_sources` takes it, with the columns of ``docs``, whatever their names.
 
-    Rows that are equal in doc_id, source and size are matched one to one.
-    Documents without words weigh nothing and are not taken.
+    Rows are told apart by a number that they get when they are written, so
+    repeated ones, null ids and all, meet in no group. Documents without words
+    weigh nothing and are not taken.
     """
-    mixed = mix_sources(docs, **options).filter("taken > 0")
-    key = ["_id", "_source", "_size", "_nth"]
-    null_safe = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    nth = lambda by: F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(by))
-    copies = mixed.select(null_safe("doc_id").alias("_id"), null_safe("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    copies = copies.withColumn("_nth", nth(F.desc("_copies")))
-    rows = docs.withColumns({"_id": null_safe("doc_id"), "_source": null_safe("source"), "_size": word_count(F.col("text"))})
-    joined = rows.withColumn("_nth", nth(F.col("text"))).join(copies, key)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
+    sizes = rows.select("row.doc_id", "row.source", word_count(F.col("row.text")).alias("size"), "uid")
+    mixed = _mixed(sizes, weights, max_repeats, seed).filter("copies > 0 AND size > 0").select("uid", "copies")
+    joined = rows.join(mixed, "uid")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
