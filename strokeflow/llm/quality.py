@@ -2,10 +2,11 @@
 
 Native: DataFrame functions only. Per text a few counts are taken, transformed
 and rounded to integers. Per group of texts a minimum-covariance-determinant
-estimate of location and scatter is found by concentration steps: start from
-medians and absolute deviations, then keep the texts with the smallest
-Mahalanobis distances and re-estimate, again and again. Texts far outside the
-final, reweighted estimate are rejected.
+estimate of location and scatter is found by concentration steps from several
+starts (medians with absolute deviations, and the moments of all texts): keep
+the texts with the smallest Mahalanobis distances and re-estimate, until the
+determinant of the scatter falls no further. The start that ends with the
+smallest determinant wins. Texts far outside its reweighted estimate are rejected.
 
 Medians and the concentration quantile come from histograms, and moments from
 sums of integers: everything combines before a shuffle, no task holds a
@@ -135,10 +136,11 @@ def _moments(d: int) -> list[Column]:
 
 
 def _estimate(sums: DataFrame, floors: list[float], factor: float) -> DataFrame:
-    """grp, means (m0..) and the Cholesky factor (l0_0..) of scatter times ``factor``, plus the squared floors on its diagonal."""
+    """Keys (grp, and start if there is one), means (m0..), the Cholesky factor (l0_0..) of scatter times ``factor``, plus the squared floors on its diagonal, and the log of its determinant."""
     d = len(floors)
+    keys = [c for c in ("grp", "start") if c in sums.columns]
     s = lambda c: F.col(c).cast("double")
-    out = sums.select("grp", *[(s(f"s{i}") / s("m")).alias(f"m{i}") for i in range(d)], "m", *[f"s{i}_{j}" for i in range(d) for j in range(i + 1)])
+    out = sums.select(*keys, *[(s(f"s{i}") / s("m")).alias(f"m{i}") for i in range(d)], "m", *[f"s{i}_{j}" for i in range(d) for j in range(i + 1)])
     cov = {
         (i, j): (s(f"s{i}_{j}") / s("m") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (F.lit((floors[i] * UNIT) ** 2) if i == j else F.lit(0.0))
         for i in range(d) for j in range(i + 1)
@@ -148,16 +150,25 @@ def _estimate(sums: DataFrame, floors: list[float], factor: float) -> DataFrame:
             rest = cov[i, j] - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
             low = F.lit((floors[i] * UNIT) ** 2 / 100)
             out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, low)) if i == j else rest / F.col(f"l{j}_{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)])
+    return out.select(*keys, *_parts(d), _log_det(d))
+
+
+def _parts(d: int) -> list[str]:
+    return [*[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)]]
+
+
+def _log_det(d: int) -> Column:
+    return sum((2 * F.log(F.col(f"l{i}_{i}")) for i in range(1, d)), 2 * F.log(F.col("l0_0"))).alias("log_det")
 
 
 def _distance(rows: DataFrame, estimate: DataFrame, d: int, how: str = "inner") -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance."""
-    out = rows.join(estimate, "grp", how)
+    """``rows`` (of which only grp and x0.. are looked at by name) with ``d2``, the squared Mahalanobis distance; a row for each start, if there are several."""
+    out = rows.join(estimate.select(*[c for c in ("grp", "start") if c in estimate.columns], *_parts(d)), "grp", how)
     for i in range(d):
         rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, d)), F.col("y0") * F.col("y0"))).select(*rows.columns, "d2")
+    keys = [c for c in ("start",) if c in estimate.columns]
+    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, d)), F.col("y0") * F.col("y0"))).select(*rows.columns, *keys, "d2")
 
 
 def _quantile_bin(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -168,7 +179,7 @@ def _quantile_bin(binned: DataFrame, keys: list[str], share: float) -> DataFrame
 
 
 def _centres(rows: DataFrame, d: int) -> DataFrame:
-    """grp, m0.. (medians) and l0_0.. (1.4826 times the median absolute deviation) with zeros off the diagonal."""
+    """grp, m0.. (medians) and w0.. (1.4826 times the median absolute deviation)."""
     long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"x{i}").alias("x")) for i in range(d)])).alias("c")).select("grp", "c.dim", "c.x")
     step = 10
     median = _quantile_bin(long.select("grp", "dim", F.floor(F.col("x") / step).alias("bin")), ["grp", "dim"], 0.5).withColumnRenamed("bin", "centre")
@@ -181,32 +192,54 @@ def _centres(rows: DataFrame, d: int) -> DataFrame:
     )
 
 
-def mcd(rows: DataFrame, floors: list[float], share: float = 0.75, steps: int = 4, reweight: float = 0.975) -> DataFrame:
-    """The reweighted MCD estimate of each grp of ``rows`` (grp, and x0.. as long, in UNITs): see _estimate()."""
+def mcd(rows: DataFrame, floors: list[float], share: float = 0.75, steps: int = 8, tolerance: float = 1e-3, reweight: float = 0.975) -> DataFrame:
+    """The reweighted MCD estimate of each grp of ``rows`` (grp, and x0.. as long, in UNITs): see _estimate().
+
+    Concentration steps go on from every start, for all groups at once, until
+    no log determinant falls by ``tolerance`` any more, or for ``steps`` steps.
+    The step keeps the rows up to the bin of squared distances (32 a doubling)
+    in which ``share`` of the rows is reached.
+    """
     d = len(floors)
     centres = _centres(rows, d)
     zero = [F.lit(0.0).alias(f"l{i}_{j}") for i in range(d) for j in range(i)]
-    start = centres.select("grp", *[f"m{i}" for i in range(d)], *zero, *[F.sqrt(F.pow(F.col(f"w{i}"), 2) + (floors[i] * UNIT) ** 2).alias(f"l{i}_{i}") for i in range(d)])
-    estimate = materialize(start, "mcd-estimate")
+    medians = centres.select("grp", *[f"m{i}" for i in range(d)], *zero, *[F.sqrt(F.pow(F.col(f"w{i}"), 2) + (floors[i] * UNIT) ** 2).alias(f"l{i}_{i}") for i in range(d)])
+    moments = _estimate(rows.groupBy("grp").agg(*_moments(d)), floors, 1.0)
+    starts = [x.select("grp", F.lit(i).alias("start"), *_parts(d)) for i, x in enumerate((medians, moments))]
+    estimate = materialize(starts[0].union(starts[1]).withColumn("log_det", F.lit(None).cast("double")), "mcd-estimate")
     factor = share / chi2_cdf(chi2_quantile(share, d), d + 2)
     for _ in range(steps):
         far = _distance(rows, _small(estimate), d).withColumn("bin", F.floor(F.log2(F.col("d2") + 0.01) * 32))
-        edge = materialize(_quantile_bin(far.select("grp", "bin"), ["grp"], share).withColumnRenamed("bin", "edge"), "mcd-edge")
-        core = far.join(_small(edge), "grp").filter("bin <= edge")
-        estimate = materialize(_estimate(core.groupBy("grp").agg(*_moments(d)), floors, factor), "mcd-estimate")
-    near = _distance(rows, _small(estimate), d).filter(F.col("d2") <= chi2_quantile(reweight, d))
+        edge = materialize(_quantile_bin(far.select("grp", "start", "bin"), ["grp", "start"], share).withColumnRenamed("bin", "edge"), "mcd-edge")
+        core = far.join(_small(edge), ["grp", "start"]).filter("bin <= edge")
+        before = estimate.select("grp", "start", F.col("log_det").alias("before"))
+        estimate = materialize(_estimate(core.groupBy("grp", "start").agg(*_moments(d)), floors, factor).join(before, ["grp", "start"]), "mcd-estimate")
+        if estimate.filter(F.col("before").isNull() | (F.col("log_det") < F.col("before") - tolerance)).limit(1).count() == 0:
+            break
+        estimate = estimate.drop("before")
+    best = estimate.groupBy("grp").agg(F.min_by(F.struct(*_parts(d)), F.struct("log_det", "start")).alias("best")).select("grp", "best.*")
+    best = materialize(best, "mcd-estimate")
+    near = _distance(rows, _small(best), d).filter(F.col("d2") <= chi2_quantile(reweight, d))
     factor = reweight / chi2_cdf(chi2_quantile(reweight, d), d + 2)
     return materialize(_estimate(near.groupBy("grp").agg(*_moments(d)), floors, factor), "mcd-estimate")
 
 
-def _counted(docs: DataFrame, min_words: int, max_repeat_percent: int) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, the transformed statistics (x0..) and the names of language and source."""
-    made = statistics(F.col("text").cast("string"))
-    words = words_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _counted(docs: DataFrame, min_words: int, max_repeat_percent: int, with_text: bool) -> DataFrame:
+    """The columns of ``docs`` in ``rest`` (with or without the text), the counts, ``base_failed``, and the names of language and source."""
+    text = F.col("rest.text").cast("string")
+    made = statistics(text)
+    words = words_of(F.coalesce(text, F.lit("")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    counted = docs.drop(*made, "base_failed", "d2", "kept").withColumn("_repetition", repetition(words)).withColumns(made).drop("_repetition")
-    return counted.withColumns({"base_failed": failed, "_lang": name("lang"), "_source": name("source")})
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"rest.{c}").cast("string")), F.lit("-"))
+    counted = docs.select(F.struct("*").alias("rest")).withColumn("_repetition", repetition(words)).withColumns(made).drop("_repetition")
+    counted = counted.withColumns({"base_failed": failed, "_lang": name("lang"), "_source": name("source")})
+    dropped = [c for c in docs.columns if c in made or c in VERDICT or (c == "text" and not with_text)]
+    return counted.withColumn("rest", F.col("rest").dropFields(*[f"`{c}`" for c in dropped])) if dropped else counted
+
+
+#: Columns of rate() besides the counts, and all of them.
+VERDICT = ("base_failed", "d2", "kept")
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_lines", "n_upper", *VERDICT)
 
 
 def _transformed(counted: DataFrame) -> DataFrame:
@@ -230,28 +263,28 @@ def rate(
     small languages join each other. Null languages and sources are values of
     their own. A text is kept if its squared distance is within the chi-square
     quantile of ``confidence``. ``d2`` is null where base rules failed. Null
-    and empty texts have no words and fail. No rows give no rows. Columns of
-    the same names are replaced.
+    and empty texts have no words and fail. Equal texts of a group have equal
+    verdicts. No rows give no rows. Columns named as a count, ``base_failed``,
+    ``d2`` or ``kept`` are replaced; all others stay, whatever their names.
 
-    Counts are written once, without texts, for the estimates. The
-    result has the texts only ``with_text``; they are then read and counted
-    again rather than stored or joined.
+    Counts are taken once and written, beside the texts only ``with_text``.
     """
     kinds = transforms()
     floors = [f for _, f in kinds]
-    slim = materialize(_counted(docs, min_words, max_repeat_percent).drop("text"), "quality-counts")
-    ok = slim.filter("NOT base_failed")
+    counted = materialize(_counted(docs, min_words, max_repeat_percent, with_text), "quality-counts")
+    ok = counted.filter("NOT base_failed")
     sizes = ok.groupBy("_lang", "_source").agg(F.count("*").alias("n")).withColumn("small", F.col("n") < least_group)
     sizes = sizes.withColumn("n_small", F.sum(F.when(F.col("small"), F.col("n"))).over(Window.partitionBy("_lang")))
     grp = F.when(~F.col("small"), F.concat_ws("\x01", "_lang", "_source")).when(F.col("n_small") >= least_group, F.concat(F.col("_lang"), F.lit("\x01*"))).otherwise("*")
     groups = materialize(sizes.select("_lang", "_source", grp.alias("grp")), "quality-groups")
     named = lambda df: df.join(_small(groups), ["_lang", "_source"], "left")
     xs = [f"x{i}" for i in range(len(kinds))]
-    estimate = mcd(named(_transformed(ok)).select("grp", *xs), floors)
-    target = named(_transformed(_counted(docs, min_words, max_repeat_percent) if with_text else slim))
+    facts = [c for c in counted.columns if c not in ("rest", "_lang", "_source")]
+    slim = materialize(named(_transformed(ok.drop("rest"))).select("grp", *xs), "quality-points")
+    estimate = mcd(slim, floors)
     limit = chi2_quantile(confidence, len(floors))
-    judged = _distance(target, _small(estimate), len(floors), "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(False)))
-    return judged.drop("grp", "_lang", "_source", *xs)
+    judged = _distance(named(_transformed(counted)), _small(estimate), len(floors), "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(False)))
+    return judged.select("rest.*", *facts, "d2", "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
