@@ -126,7 +126,7 @@ def _least_z(x: np.ndarray, labels: np.ndarray, options: tuple[float, ...], fold
 
 def train(
     texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.01, decay: float = 1e-2, seed: int = 7,
-    known: int = 4096, least_z: tuple[float, ...] = (5.0, 4.0, 3.0, 2.0), folds: int = 3,
+    known: int = 4096, least_z: tuple[float, ...] = (5.0, 4.0, 3.0, 2.0), folds: int = 5,
 ) -> tuple[np.ndarray, float]:
     """The folded weight of each bucket and the bias, from labelled texts (labels 0 and 1).
 
