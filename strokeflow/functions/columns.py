@@ -14,11 +14,6 @@ OUT_FT, TIN_FT = 4.57 * 3.280839895, 0.48 * 3.280839895
 FTPS_TO_MPH = 0.6818181818
 
 
-def y_at_x(x0: Column, y0: Column, x1: Column, y1: Column, x: Column) -> Column:
-    """A line's y at x; null for a vertical line."""
-    return y0 + (y1 - y0) * F.try_divide(x - x0, x1 - x0)
-
-
 def signed_distance(x0: Column, y0: Column, x1: Column, y1: Column, x: Column, y: Column) -> Column:
     """Signed perpendicular distance of a point from a line."""
     return F.try_divide((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0), F.hypot(x1 - x0, y1 - y0))
@@ -29,16 +24,6 @@ def inside_quad_x(left: Column, right: Column, x: Column, pad: float = 0.0) -> C
     return x.between(F.least(left, right) - pad, F.greatest(left, right) + pad)
 
 
-def judge(y: Column, top: Column, bottom: Column) -> Column:
-    """The call of a ball at y between the out line (top) and the tin (bottom), as a struct of call, reason and margin."""
-    call = (
-        F.when(y.isNull() | (bottom <= top), F.struct(F.lit("UNKNOWN").alias("call"), F.lit("invalid").alias("reason"), F.lit(None).cast("double").alias("margin")))
-        .when(y < top, F.struct(F.lit("OUT").alias("call"), F.lit("above_out_line").alias("reason"), (y - top).alias("margin")))
-        .when(y > bottom, F.struct(F.lit("OUT").alias("call"), F.lit("below_tin").alias("reason"), (bottom - y).alias("margin")))
-    )
-    return call.otherwise(F.struct(F.lit("IN").alias("call"), F.lit("between_lines").alias("reason"), F.least(y - top, bottom - y).alias("margin")))
-
-
 def target_zone(x: Column, y: Column) -> Column:
     """Zones 1 to 9, left to right and within a side from lob to low; outside points are clamped."""
     side = F.when(x < CENTER_LEFT, 0).when(x <= CENTER_RIGHT, 1).otherwise(2)
@@ -60,13 +45,6 @@ def mph(ftps: Column) -> Column:
     return ftps * FTPS_TO_MPH
 
 
-def apply_homography(h: list[float], x: Column, y: Column) -> tuple[Column, Column]:
-    """A point under a 3 by 3 homography; nulls where it maps to infinity."""
-    w = h[6] * x + h[7] * y + h[8]
-    w = F.when(F.abs(w) > 1e-12, w)
-    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
-
-
 def scale_frames(frames: int, fps: Column, minimum: int = 1) -> Column:
     """A frame count tuned at 60 fps, at another rate."""
     return F.greatest(F.lit(minimum), F.bround(frames * fps / 60).cast("int"))
@@ -124,28 +102,6 @@ def rewrite(text: Column, words: dict[str, str]) -> Column:
     return text
 
 
-def wall_u(x: Column, y: Column, top: tuple[float, float, float, float], bottom: tuple[float, float, float, float], steps: int = 1000) -> Column:
-    """The share u along two borders at which the point is nearest to the line between them, searched in ``steps`` steps; the first of equals."""
-
-    def off(i: Column) -> Column:
-        u = i / F.lit(float(steps))
-        ax, ay = top[0] + (top[2] - top[0]) * u, top[1] + (top[3] - top[1]) * u
-        bx, by = bottom[0] + (bottom[2] - bottom[0]) * u, bottom[1] + (bottom[3] - bottom[1]) * u
-        return F.struct(F.abs(signed_distance(ax, ay, bx, by, x, y)).alias("d"), i.alias("i"))
-
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(steps)), off))["i"] / F.lit(float(steps))
-
-
-def clamp_x(call: Column, x: Column, left: Column, right: Column) -> Column:
-    """X is clamped to the wall where the ball is vertically in."""
-    return F.when(call == "IN", F.greatest(left, F.least(right, x))).otherwise(x)
-
-
-def candidate_score(speed: Column, turn: Column, distance: Column) -> Column:
-    """Weighted and saturating evidence of a bounce."""
-    return 0.5 * F.least(F.lit(1.0), speed / 100) + 0.3 * F.least(F.lit(1.0), turn / 90) + 0.2 * F.greatest(F.lit(0.0), 1 - distance / 80)
-
-
 def prose(parts: list[Column], most: int) -> Column:
     """The first ``most`` sentences that apply."""
     return F.concat_ws(" ", F.slice(F.array_compact(F.array(*parts)), 1, most))

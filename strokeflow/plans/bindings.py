@@ -73,6 +73,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, cal: one per supplier; every other one has corners, every tenth one nothing."""
+    k = F.col("s_suppkey")
+    num = lambda c: c.cast("double")
+    line = lambda *v: F.struct(*[num(c).alias(n) for c, n in zip(v, ("x0", "y0", "x1", "y1"))])
+    point = lambda x, y: F.struct(num(x).alias("x"), num(y).alias("y"))
+    top = line(20 + k % 7 * 5, 150 + k % 5 * 10, 1000 - k % 3 * 30, 170 - k % 4 * 10)
+    bottom = line(30 + k % 4 * 10, 800 + k % 6 * 10, 980 + k % 5 * 4, 820 - k % 7 * 10)
+    service = line(F.lit(25), 480 + k % 3 * 10, F.lit(990), 500 - k % 3 * 10)
+    corners = F.struct(point(F.lit(40), F.lit(150)).alias("tl"), point(960 - k % 3 * 20, F.lit(160)).alias("tr"), point(F.lit(990), F.lit(850)).alias("br"), point(10 + k % 3 * 10, F.lit(860)).alias("bl"))
+    known = k % 10 != 0
+    cal = F.struct(F.when(known, top).alias("top"), F.when(known, bottom).alias("bottom"), F.when(known, service).alias("service"), F.when(known & (k % 2 == 1), corners).alias("corners"))
+    return read(spark, sf_dir, "supplier").select(k.alias("run_id"), cal.alias("cal"))
+
+
 #: The same projections for DuckDB, by entity.
 ENTITIES = {
     "hits": """SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame,
@@ -88,6 +103,10 @@ ENTITIES = {
     "samples": """SELECT l_suppkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS track,
       row_number() OVER (PARTITION BY l_suppkey, l_partkey % 2 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) / 4.0::DOUBLE AS t,
       (CAST(round(l_extendedprice * 100) AS BIGINT) % 2100) / 100.0::DOUBLE AS x_ft, l_quantity * 0.64::DOUBLE AS y_ft, l_linestatus = 'F' AS coasted FROM lineitem""",
+    "calibrations": """SELECT k AS run_id, (20 + k % 7 * 5)::DOUBLE AS tx0, (150 + k % 5 * 10)::DOUBLE AS ty0, (1000 - k % 3 * 30)::DOUBLE AS tx1, (170 - k % 4 * 10)::DOUBLE AS ty1,
+      (30 + k % 4 * 10)::DOUBLE AS bx0, (800 + k % 6 * 10)::DOUBLE AS by0, (980 + k % 5 * 4)::DOUBLE AS bx1, (820 - k % 7 * 10)::DOUBLE AS by1,
+      25::DOUBLE AS sx0, (480 + k % 3 * 10)::DOUBLE AS sy0, 990::DOUBLE AS sx1, (500 - k % 3 * 10)::DOUBLE AS sy1, k % 10 <> 0 AS known, k % 2 = 1 AND k % 10 <> 0 AS cornered,
+      (960 - k % 3 * 20)::DOUBLE AS trx, (10 + k % 3 * 10)::DOUBLE AS blx FROM (SELECT s_suppkey AS k FROM supplier)""",
     "front": "SELECT * FROM hits WHERE event_type IS NULL OR event_type = 'wall'",
     "gaps": "SELECT * FROM (SELECT run_id, frame, t, t - lag(t) OVER (PARTITION BY run_id ORDER BY frame) AS gap FROM front) WHERE gap > 0",
     "pairs": """SELECT run_id, gap AS low, lead(gap) OVER (PARTITION BY run_id ORDER BY gap, frame) AS high FROM gaps""",

@@ -33,11 +33,6 @@ def c08(spark, sf):
     return B.track(spark, sf).filter(F.col("detected") & C.inside_quad_x(F.lit(900), F.lit(200), F.col("x"), 10)).select("run_id", "frame")
 
 
-@register("c11_significance", "SELECT run_id, frame, (speed_before >= 20 AND k >= 25) OR call = 'OUT' AS significant FROM hits")
-def c11(spark, sf):
-    return B.hits(spark, sf).select("run_id", "frame", (((F.col("speed_before") >= 20) & (F.col("k") >= 25)) | (F.col("call") == "OUT")).alias("significant"))
-
-
 @register(
     "c13_capability_reasons",
     """SELECT l_orderkey, l_linenumber, reasons = '' AS enabled, reasons FROM (SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity < 10 THEN 'too narrow' END, CASE WHEN l_discount < 0.02 THEN 'not sharp' END, CASE WHEN l_tax > 0.06 THEN 'no solved court' END], lambda z: z IS NOT NULL), '; ') AS reasons FROM lineitem)""",
@@ -47,23 +42,6 @@ def c13(spark, sf):
     return B.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.size(parts) == 0).alias("enabled"), F.concat_ws("; ", parts).alias("reasons"))
 
 
-@register("j01_line_functions", "SELECT run_id, frame, round(100 + (x - 50) * 200 / 900, 6) AS y_at, round((900 * (y - 100) - 200 * (x - 50)) / sqrt(850000), 6) AS distance FROM track WHERE detected")
-def j01(spark, sf):
-    line = [F.lit(float(v)) for v in (50, 100, 950, 300)]
-    t = B.track(spark, sf).filter("detected")
-    return t.select("run_id", "frame", F.round(C.y_at_x(*line, F.col("x")), 6).alias("y_at"), F.round(C.signed_distance(*line, F.col("x"), F.col("y")), 6).alias("distance"))
-
-
-@register(
-    "j04_judge",
-    """SELECT run_id, frame, CASE WHEN y < 200 OR y > 800 THEN 'OUT' ELSE 'IN' END AS call, CASE WHEN y < 200 THEN 'above_out_line' WHEN y > 800 THEN 'below_tin' ELSE 'between_lines' END AS reason,
-      CASE WHEN y < 200 THEN y - 200 WHEN y > 800 THEN 800 - y ELSE least(y - 200, 800 - y) END AS margin FROM track WHERE detected""",
-)
-def j04(spark, sf):
-    t = B.track(spark, sf).filter("detected")
-    return t.select("run_id", "frame", C.judge(F.col("y"), F.lit(200.0), F.lit(800.0)).alias("j")).select("run_id", "frame", "j.*")
-
-
 @register("j06_target_zone", f"SELECT run_id, frame, CAST((CASE WHEN x < 0.21 THEN 0 WHEN x <= 0.79 THEN 1 ELSE 2 END) * 3 + (CASE WHEN y < 0.324 THEN 0 WHEN y < {C.SERVICE_Y}::DOUBLE THEN 1 ELSE 2 END) + 1 AS INT) AS zone FROM hits")
 def j06(spark, sf):
     return B.hits(spark, sf).select("run_id", "frame", C.target_zone(F.col("x"), F.col("y")).alias("zone"))
@@ -74,15 +52,6 @@ def j08(spark, sf):
     return B.hits(spark, sf).select("run_id", "frame", F.round(C.wall_height_ft(F.col("y")), 6).alias("height_ft"), F.round(C.mph(F.col("speed_before")), 6).alias("mph"))
 
 
-H = [0.02, 0.001, 1.0, -0.0005, 0.03, 2.0, 0.00001, 0.0002, 1.0]
-
-
-@register("j09_homography", "SELECT run_id, frame, round((0.02 * x + 0.001 * y + 1) / (0.00001::DOUBLE * x + 0.0002::DOUBLE * y + 1), 6) AS u, round((-0.0005::DOUBLE * x + 0.03 * y + 2) / (0.00001::DOUBLE * x + 0.0002::DOUBLE * y + 1), 6) AS v FROM track WHERE detected")
-def j09(spark, sf):
-    u, v = C.apply_homography(H, F.col("x"), F.col("y"))
-    return B.track(spark, sf).filter("detected").select("run_id", "frame", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
-
-
 @register(
     "j12_weighted_vote",
     """WITH v AS (SELECT run_id, frame, CASE WHEN k % 4 > 0 THEN greatest(-1, least(1, (k - 50) / 40.0::DOUBLE)) END AS a, CASE WHEN k % 3 > 0 THEN greatest(-1, least(1, (y - 0.1) / 0.35::DOUBLE)) END AS b FROM hits),
@@ -101,13 +70,8 @@ def j13(spark, sf):
     return B.read(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("fps"), C.scale_frames(10, F.col("l_quantity")).alias("frames")).distinct()
 
 
-@register("j17_tile_origins", "SELECT p_partkey, least(i * 352, 1920 - 416) AS x0 FROM part, (SELECT unnest(range(0, 6)) AS i) WHERE p_partkey < 5")
+@register("j17_tile_origins", "SELECT p_partkey, least(i * 352, 1920 - 416) AS x0 FROM part, (SELECT unnest(range(0, 6)) AS i)")
 def j17(spark, sf):
-    return B.read(spark, sf, "part").filter("p_partkey < 5").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("p_partkey", F.least(F.col("i") * 352, F.lit(1920 - 416)).cast("long").alias("x0"))
-
-
-@register("j17_tile_origins_whole", "SELECT p_partkey, least(i * 352, 1920 - 416) AS x0 FROM part, (SELECT unnest(range(0, 6)) AS i)")
-def j17_whole(spark, sf):
     return B.read(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("p_partkey", F.least(F.col("i") * 352, F.lit(1920 - 416)).cast("long").alias("x0"))
 
 
@@ -138,37 +102,6 @@ def j27(spark, sf):
     return B.read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@register(
-    "j03_clamped_x",
-    "SELECT run_id, frame, CASE WHEN y BETWEEN 200 AND 800 THEN greatest(100, least(900, x)) ELSE x END AS cx FROM track WHERE detected",
-)
-def j03(spark, sf):
-    call = C.judge(F.col("y"), F.lit(200.0), F.lit(800.0))["call"]
-    return B.track(spark, sf).filter("detected").select("run_id", "frame", C.clamp_x(call, F.col("x"), F.lit(100.0), F.lit(900.0)).alias("cx"))
-
-
-@register(
-    "j05_wall_diagram",
-    """WITH p AS (SELECT run_id, frame, x, y FROM track WHERE detected AND frame < 12), g AS (SELECT unnest(range(0, 1001)) AS i),
-      d AS (SELECT run_id, frame, i, i / 1000.0::DOUBLE AS u FROM p, g), e AS (SELECT d.*, 100 + 900 * u AS ax, 50 + 20 * u AS ay, 80 + 950 * u AS bx, 900 - 10 * u AS b_y FROM d)
-      SELECT run_id, frame, CAST(arg_min(i, struct_pack(a := round(abs(((bx - ax) * (y - ay) - (b_y - ay) * (x - ax)) / sqrt(power(bx - ax, 2) + power(b_y - ay, 2))), 9), b := i)) AS DOUBLE) / 1000 AS u FROM e JOIN p USING (run_id, frame) GROUP BY ALL""",
-)
-def j05(spark, sf):
-    p = B.track(spark, sf).filter("detected AND frame < 12")
-    return p.select("run_id", "frame", C.wall_u(F.col("x"), F.col("y"), (100.0, 50.0, 1000.0, 70.0), (80.0, 900.0, 1030.0, 890.0)).alias("u"))
-
-
-@register("j05_wall_diagram_whole")
-def j05_whole(spark, sf):
-    p = B.track(spark, sf).filter("detected")
-    return p.select("run_id", "frame", C.wall_u(F.col("x"), F.col("y"), (100.0, 50.0, 1000.0, 70.0), (80.0, 900.0, 1030.0, 890.0)).alias("u"))
-
-
-@register("j11_candidate_score", "SELECT run_id, frame, round(0.5::DOUBLE * least(1, speed_before / 100) + 0.3::DOUBLE * least(1, k / 90.0::DOUBLE) + 0.2::DOUBLE * greatest(0, 1 - y * 500 / 80), 6) AS score FROM hits")
-def j11(spark, sf):
-    return B.hits(spark, sf).select("run_id", "frame", F.round(C.candidate_score(F.col("speed_before"), F.col("k").cast("double"), F.col("y") * 500), 6).alias("score"))
-
-
 @register(
     "j20_slug",
     """SELECT page_id, CASE WHEN base = url THEN base ELSE concat_ws('-', CASE WHEN base <> '' THEN base END, left(sha1(url), 8)) END AS slug FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS base FROM pages)""",
