@@ -14,15 +14,25 @@ from strokeflow.llm import mixing, ngram_join, packing, quality, toxicity
 from strokeflow.llm.storage import materialize, table
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, longer if a column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
     labels = table(spark, sf_dir, "labels").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-    return toxicity.score_toxicity(docs, labels).filter("score < 0.5").select(*docs.columns)
+    score = _free("toxicity", docs.columns)
+    return toxicity.score_toxicity(docs, labels, column=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.rate(docs, with_text=True).filter("kept").select(*docs.columns)
+    """Documents that the quality rules keep; columns named like a statistic come through unchanged."""
+    aside = {c: _free(f"given_{c}", docs.columns) for c in docs.columns if c in quality.COLUMNS}
+    kept = quality.rate(docs.withColumnsRenamed(aside), with_text=True).filter("kept")
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
