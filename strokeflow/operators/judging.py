@@ -58,7 +58,7 @@ def judge(df: DataFrame, serve: bool = False, strict: bool = True) -> DataFrame:
     return out.withColumns({"call": call, "cal": F.col("_cal")}).drop("_cal", "_over", "_under", "_beside", "at_x", "moved")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -93,7 +93,7 @@ def _steps(r: Column, steps: int) -> Column:
         return F.filter(near, lambda i: i.between(0, steps))
 
     every = F.sequence(F.lit(0), F.lit(steps))
-    return _let(_let(parts, around), lambda found: F.when(F.size(found) > 0, found).otherwise(every))
+    return let(let(parts, around), lambda found: F.when(F.size(found) > 0, found).otherwise(every))
 
 
 def diagram(df: DataFrame, steps: int = 1000) -> DataFrame:
@@ -109,12 +109,12 @@ def diagram(df: DataFrame, steps: int = 1000) -> DataFrame:
     def best(r: Column) -> Column:
         def connector(i: Column) -> Column:
             (tx, ty), (bx, by) = W.point_at(r["top"], i / F.lit(float(steps))), W.point_at(r["bottom"], i / F.lit(float(steps)))
-            return _let(F.struct(tx.alias("tx"), ty.alias("ty"), (bx - tx).alias("vx"), (by - ty).alias("vy")), lambda c: _nearness(r, c, i))
+            return let(F.struct(tx.alias("tx"), ty.alias("ty"), (bx - tx).alias("vx"), (by - ty).alias("vy")), lambda c: _nearness(r, c, i))
 
         return F.array_min(F.transform(r["steps"], connector))  # passes over nulls
 
     inputs = F.struct(AT.alias("x"), Y.alias("y"), CAL["top"].alias("top"), CAL["bottom"].alias("bottom"))
-    out = clamp(df).withColumn("_best", _let(inputs, lambda r: _let(r.withField("steps", _steps(r, steps)), best)))
+    out = clamp(df).withColumn("_best", let(inputs, lambda r: let(r.withField("steps", _steps(r, steps)), best)))
     left, right = W.wall_x(CAL, Y)
     out = out.withColumns({"_left": left, "_right": right, "_top": W.y_at(CAL["top"], AT), "_bottom": W.y_at(CAL["bottom"], AT)})
     none = F.col("_best").isNull()

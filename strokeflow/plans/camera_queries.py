@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import camera as V
+from ..operators import judging as J
 from . import bindings as B
 
 X, Y = F.col("x"), F.col("y")
@@ -105,13 +106,13 @@ def j16_calls(spark, sf):
       k AS (SELECT *, CASE surface WHEN 'floor' THEN (0 - 12) / dz WHEN 'front_wall' THEN (0 - 40) / dy WHEN 'back_wall' THEN (32 - 40) / dy WHEN 'left_wall' THEN (0 - 10.5) / nullif(dx, 0) ELSE (21 - 10.5) / nullif(dx, 0) END AS s FROM d),
       q AS (SELECT *, 10.5 + s * dx AS qx, 40 + s * dy AS qy, 12 + s * dz AS qz FROM k WHERE s > 0),
       g AS (SELECT *, CASE WHEN surface = 'floor' THEN qx BETWEEN -0.5 AND 21.5 AND qy BETWEEN -0.5 AND 32.5 WHEN surface IN ('front_wall', 'back_wall') THEN qx BETWEEN -0.5 AND 21.5 AND qz >= -0.5 ELSE qy BETWEEN -0.5 AND 32.5 AND qz >= -0.5 END AS ok FROM q)
-      SELECT run_id, track, t, round(qx, 5) + 0.0 AS sx, round(qy, 5) + 0.0 AS sy, round(qz, 5) + 0.0 AS sz FROM g WHERE ok""",
+      SELECT run_id, track, t, round(qx, 7) + 0.0 AS sx, round(qy, 7) + 0.0 AS sy, round(qz, 7) + 0.0 AS sz FROM g WHERE ok""",
 )
 def j16_snap(spark, sf):
     cam, p = camera(), [F.col("x_ft"), F.col("y_ft"), F.col("z")]
-    rows = contacts(spark, sf).withColumn("p", V.project(cam, *p)).withColumn("d", V.ray(cam, F.col("p.u"), F.col("p.v")))
-    rows = rows.withColumn("s", V.snap(cam, F.col("d"), F.col("surface"))).filter(V.in_surface(F.col("surface"), F.col("s.x"), F.col("s.y"), F.col("s.z")))
-    return rows.select("run_id", "track", "t", *[(F.round(f"s.{c}", 5) + 0.0).alias(f"s{c}") for c in "xyz"])
+    rows = contacts(spark, sf).withColumn("p", V.project(cam, *p))
+    rows = rows.withColumn("s", J.let(V.ray(cam, F.col("p.u"), F.col("p.v")), lambda d: V.snap(cam, d, F.col("surface")))).filter(V.in_surface(F.col("surface"), F.col("s.x"), F.col("s.y"), F.col("s.z")))
+    return rows.select("run_id", "track", "t", *[(F.round(f"s.{c}", 7) + 0.0).alias(f"s{c}") for c in "xyz"])
 
 
 @register(

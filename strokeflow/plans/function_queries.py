@@ -10,13 +10,6 @@ from ..functions import columns as C
 from . import bindings as B
 
 
-@register("c04_candidate_filter", "SELECT run_id, frame FROM (SELECT *, max(CASE WHEN height > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, frame // 10) AS any_ball FROM track) WHERE coalesce(confidence, 1) >= 0.4 AND (height > 4 OR any_ball = 0)")
-def c04(spark, sf):
-    any_ball = F.max((F.col("height") > 4).cast("int")).over(Window.partitionBy("run_id", F.floor(F.col("frame") / 10)))
-    t = B.track(spark, sf).withColumn("any_ball", any_ball)
-    return t.filter((F.coalesce("confidence", F.lit(1.0)) >= 0.4) & ((F.col("height") > 4) | (F.col("any_ball") == 0))).select("run_id", "frame")
-
-
 @register("c06_finite_points", "SELECT run_id, count(*) AS n FROM track WHERE detected AND x IS NOT NULL AND isfinite(x) GROUP BY run_id")
 def c06(spark, sf):
     return B.track(spark, sf).filter(F.col("detected") & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("run_id").agg(F.count("*").alias("n"))
