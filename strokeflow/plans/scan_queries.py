@@ -39,18 +39,8 @@ def a04(spark, sf):
     return S.normal_labels(h.select("run_id", F.col("event_id").alias("seq"), F.floor(F.col("frame") / 2).alias("frame"), kind.alias("type"))).select("run_id", "frame", "type")
 
 
-@register(
-    "b07_upsert_by_frame",
-    "SELECT event_id, payload FROM (SELECT event_id, 'old' AS payload FROM events WHERE event_id % 2 = 0 AND event_id % 5 <> 0) UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 5 = 0 AND event_id % 3 <> 0",
-)
+@register("b07_upsert_by_frame", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'old' END AS payload FROM events WHERE event_id % 5 <> 0 OR event_id % 3 <> 0")
 def b07(spark, sf):
-    e = B.read(spark, sf, "events")
-    new = e.filter("event_id % 5 = 0").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("payload"))
-    return S.upsert(e.filter("event_id % 2 = 0").select("event_id", F.lit("old").alias("payload")), new, ["event_id"])
-
-
-@register("b07_upsert_by_frame_whole", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'old' END AS payload FROM events WHERE event_id % 5 <> 0 OR event_id % 3 <> 0")
-def b07_whole(spark, sf):
     e = B.read(spark, sf, "events")
     new = e.filter("event_id % 5 = 0").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("payload"))
     return S.upsert(e.select("event_id", F.lit("old").alias("payload")), new, ["event_id"])

@@ -99,21 +99,11 @@ def g06(spark, sf):
 
 @register(
     "g07_refine_windows",
-    """WITH w AS (SELECT run_id, greatest(frame - 2, 1) AS s, least(frame + 2, 60) AS e FROM hits WHERE event_type = 'floor'), x AS (SELECT * FROM w WHERE s <= e)
-      SELECT run_id, min(s) AS start, max(e) AS "end", count(*) AS parts FROM (SELECT *, sum(CASE WHEN s - reach > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY s, e) AS i FROM (
-      SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)) GROUP BY run_id, i""",
-)
-def g07(spark, sf):
-    return S.refine_windows(B.hits(spark, sf).filter("event_type = 'floor'"), 2, 1, 60)
-
-
-@register(
-    "g07_refine_windows_whole",
     """WITH b AS (SELECT run_id, min(frame) AS low, max(frame) AS high FROM hits GROUP BY run_id), x AS (SELECT run_id, greatest(frame - 2, low) AS s, least(frame + 2, high) AS e FROM hits JOIN b USING (run_id) WHERE event_type = 'floor')
       SELECT run_id, min(s) AS start, max(e) AS "end", count(*) AS parts FROM (SELECT *, sum(CASE WHEN s - reach > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY s, e) AS i FROM (
       SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)) GROUP BY run_id, i""",
 )
-def g07_whole(spark, sf):
+def g07(spark, sf):
     return S.refine_windows(B.bounded(B.hits(spark, sf)).filter("event_type = 'floor'"), 2, F.col("first_frame"), F.col("last_frame"))
 
 
@@ -202,7 +192,7 @@ def g21(spark, sf):
     return S.thin_bursts(B.hits(spark, sf).filter("event_type = 'wall'").select("run_id", "frame"), 4)
 
 
-CHUNK = """WITH RECURSIVE r AS (SELECT run_id, frame, x, y, row_number() OVER (PARTITION BY run_id ORDER BY frame) AS i FROM track WHERE detected AND frame < 300),
+CHUNK = """WITH RECURSIVE r AS (SELECT run_id, frame, x, y, row_number() OVER (PARTITION BY run_id ORDER BY frame) AS i FROM track WHERE detected),
   s AS (SELECT run_id, i, frame, x, y, frame AS lf, x AS lx, y AS ly, true AS ok FROM r WHERE i = 1
     UNION ALL SELECT run_id, i, frame, x, y, CASE WHEN ok THEN frame ELSE lf END, CASE WHEN ok THEN x ELSE lx END, CASE WHEN ok THEN y ELSE ly END, ok FROM (
       SELECT r.*, s.lf, s.lx, s.ly, sqrt(power(r.x - s.lx, 2) + power(r.y - s.ly, 2)) <= 90 + 55 * (r.frame - s.lf) AS ok FROM s JOIN r ON r.run_id = s.run_id AND r.i = s.i + 1))
@@ -211,12 +201,6 @@ CHUNK = """WITH RECURSIVE r AS (SELECT run_id, frame, x, y, row_number() OVER (P
 
 @register("g13_plausible_chunks", CHUNK)
 def g13(spark, sf):
-    t = B.track(spark, sf).filter("detected AND frame < 300").select("run_id", "frame", "x", "y")
-    return S.plausible_chunks(t, 90.0, 55.0).select("run_id", "frame")
-
-
-@register("g13_plausible_chunks_whole")
-def g13_whole(spark, sf):
     t = B.track(spark, sf).filter("detected").select("run_id", "frame", "x", "y")
     return S.plausible_chunks(t, 90.0, 55.0).select("run_id", "frame")
 

@@ -40,16 +40,11 @@ def i01(spark, sf):
     return B.hits(spark, sf).select("run_id", "frame", "call").unionByName(B.track(spark, sf).filter("NOT detected").select("run_id", "frame", "confidence"), allowMissingColumns=True)
 
 
-@register("i02_label_dilation", "SELECT DISTINCT run_id, unnest(range(greatest(frame - 2, 1), least(frame + 2, 40) + 1)) AS frame FROM hits WHERE event_type = 'racket' AND frame <= 42")
-def i02(spark, sf):
-    return S.dilate(B.hits(spark, sf).filter("event_type = 'racket' AND frame <= 42"), 2, 1, 40)
-
-
 @register(
-    "i02_label_dilation_whole",
+    "i02_label_dilation",
     "WITH b AS (SELECT run_id, min(frame) AS low, max(frame) AS high FROM hits GROUP BY run_id) SELECT DISTINCT run_id, unnest(range(greatest(frame - 2, low), least(frame + 2, high) + 1)) AS frame FROM hits JOIN b USING (run_id) WHERE event_type = 'racket'",
 )
-def i02_whole(spark, sf):
+def i02(spark, sf):
     labels = B.bounded(B.hits(spark, sf)).filter("event_type = 'racket'")
     return S.dilate(labels, 2, F.col("first_frame"), F.col("last_frame"))
 
@@ -81,16 +76,8 @@ def i05(spark, sf):
     return S.largest_session(li, "l_suppkey", "l_linenumber").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
-@register("i06_merge_cases", "SELECT event_id, call FROM hits WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'old' FROM hits WHERE event_id % 3 <> 0 AND event_id % 2 = 0")
+@register("i06_merge_cases", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN call ELSE 'old' END AS call FROM hits")
 def i06(spark, sf):
-    h = B.hits(spark, sf).select("event_id", "call")
-    new = h.filter("event_id % 3 = 0")
-    old = h.filter("event_id % 2 = 0").select("event_id", F.lit("old").alias("call"))
-    return new.unionByName(old.join(new, "event_id", "left_anti"))
-
-
-@register("i06_merge_cases_whole", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN call ELSE 'old' END AS call FROM hits")
-def i06_whole(spark, sf):
     h = B.hits(spark, sf).select("event_id", "call")
     new = h.filter("event_id % 3 = 0")
     return new.unionByName(h.select("event_id", F.lit("old").alias("call")).join(new, "event_id", "left_anti"))
