@@ -12,7 +12,6 @@ from ..functions import wall as W
 # Paddings of the gates in pixels, and as shares of the wall's width.
 PADS = {"wall": (80.0, 0.85), "side": (120.0, 0.25), "chunk": (24.0, 0.02)}
 
-CAL, X, Y, AT = F.col("cal"), F.col("x"), F.col("y"), F.col("at_x")
 
 
 def clamp(df: DataFrame) -> DataFrame:
@@ -21,12 +20,12 @@ def clamp(df: DataFrame) -> DataFrame:
     A point beside the wall whose height, at the wall's border, lies between
     the lines counts at the border. All others stay where they are.
     """
-    left, right = W.wall_x(CAL, Y)
-    out = df.withColumns({"_left": left, "_right": right}).withColumn("_border", F.least(F.col("_right"), F.greatest(F.col("_left"), X)))
+    left, right = W.wall_x(F.col("cal"), F.col("y"))
+    out = df.withColumns({"_left": left, "_right": right}).withColumn("_border", F.least(F.col("_right"), F.greatest(F.col("_left"), F.col("x"))))
     border = F.col("_border")
-    moved = ~X.between(F.col("_left"), F.col("_right")) & (W.below(CAL["top"], border, Y) > 0) & (W.below(CAL["bottom"], border, Y) < 0)
+    moved = ~F.col("x").between(F.col("_left"), F.col("_right")) & (W.below(F.col("cal")["top"], border, F.col("y")) > 0) & (W.below(F.col("cal")["bottom"], border, F.col("y")) < 0)
     out = out.withColumn("moved", F.coalesce(moved, F.lit(False)))
-    return out.withColumn("at_x", F.when(F.col("moved"), border).otherwise(X)).drop("_border", "_left", "_right")
+    return out.withColumn("at_x", F.when(F.col("moved"), border).otherwise(F.col("x"))).drop("_border", "_left", "_right")
 
 
 def judge(df: DataFrame, serve: bool = False, strict: bool = True) -> DataFrame:
@@ -38,20 +37,20 @@ def judge(df: DataFrame, serve: bool = False, strict: bool = True) -> DataFrame:
     above the service line. An invalid band is an error if ``strict``, else its
     call is UNKNOWN. Without a position there is no call and no reason.
     """
-    band = df.withColumns({"_cal": CAL, "cal": CAL.withField("bottom", CAL["service"])}) if serve else df.withColumn("_cal", CAL)
-    left, right = W.wall_x(CAL, Y)
-    out = clamp(band).withColumns({"_over": W.below(CAL["top"], AT, Y), "_under": -W.below(CAL["bottom"], AT, Y), "_beside": ~AT.between(left, right)})
+    band = df.withColumns({"_cal": F.col("cal"), "cal": F.col("cal").withField("bottom", F.col("cal")["service"])}) if serve else df.withColumn("_cal", F.col("cal"))
+    left, right = W.wall_x(F.col("cal"), F.col("y"))
+    out = clamp(band).withColumns({"_over": W.below(F.col("cal")["top"], F.col("at_x"), F.col("y")), "_under": -W.below(F.col("cal")["bottom"], F.col("at_x"), F.col("y")), "_beside": ~F.col("at_x").between(left, right)})
     under, between = ("below_or_on_service_line", "between_out_and_service_lines") if serve else ("below_or_on_bottom_line", "between_lines")
     invalid = F.raise_error(F.lit("the calibrated lines do not form a valid wall band")).cast("string") if strict else F.lit("invalid_band")
     reason = (
-        F.when(X.isNull() | Y.isNull(), F.lit(None).cast("string")).when(~W.valid_band(CAL), invalid).when(F.col("_beside"), "outside_wall_x_bounds")
+        F.when(F.col("x").isNull() | F.col("y").isNull(), F.lit(None).cast("string")).when(~W.valid_band(F.col("cal")), invalid).when(F.col("_beside"), "outside_wall_x_bounds")
         .when(F.col("_over") <= 0, "above_or_on_top_line").when(F.col("_under") <= 0, under).when(F.col("moved"), "between_lines_x_clamped").otherwise(between)
     )
-    corners = CAL["corners"]
-    outside = corners.isNotNull() & ~W.in_corners(corners, AT, Y)
+    corners = F.col("cal")["corners"]
+    outside = corners.isNotNull() & ~W.in_corners(corners, F.col("at_x"), F.col("y"))
     out = out.withColumns({
-        "reason": reason, "top_y": W.y_at(CAL["top"], AT), "bottom_y": W.y_at(CAL["bottom"], AT),
-        "margin": F.when(outside, -W.outside_distance(corners, AT, Y)).otherwise(F.least("_over", "_under")),
+        "reason": reason, "top_y": W.y_at(F.col("cal")["top"], F.col("at_x")), "bottom_y": W.y_at(F.col("cal")["bottom"], F.col("at_x")),
+        "margin": F.when(outside, -W.outside_distance(corners, F.col("at_x"), F.col("y"))).otherwise(F.least("_over", "_under")),
     })
     why = F.col("reason")
     call = F.when(why == "invalid_band", "UNKNOWN").when(why.startswith("between"), "IN").when(why != "outside_wall_x_bounds", "OUT")
@@ -113,14 +112,14 @@ def diagram(df: DataFrame, steps: int = 1000) -> DataFrame:
 
         return F.array_min(F.transform(r["steps"], connector))  # passes over nulls
 
-    inputs = F.struct(AT.alias("x"), Y.alias("y"), CAL["top"].alias("top"), CAL["bottom"].alias("bottom"))
+    inputs = F.struct(F.col("at_x").alias("x"), F.col("y").alias("y"), F.col("cal")["top"].alias("top"), F.col("cal")["bottom"].alias("bottom"))
     out = clamp(df).withColumn("_best", let(inputs, lambda r: let(r.withField("steps", _steps(r, steps)), best)))
-    left, right = W.wall_x(CAL, Y)
-    out = out.withColumns({"_left": left, "_right": right, "_top": W.y_at(CAL["top"], AT), "_bottom": W.y_at(CAL["bottom"], AT)})
+    left, right = W.wall_x(F.col("cal"), F.col("y"))
+    out = out.withColumns({"_left": left, "_right": right, "_top": W.y_at(F.col("cal")["top"], F.col("at_x")), "_bottom": W.y_at(F.col("cal")["bottom"], F.col("at_x"))})
     none = F.col("_best").isNull()
-    u = F.when(none, F.try_divide(AT - F.col("_left"), F.col("_right") - F.col("_left")))
-    u = u.when(CAL["corners"].isNotNull(), W.corner_share(CAL["corners"], AT, Y)).otherwise(F.col("_best.i") / F.lit(float(steps)))
-    v = F.when(none, F.try_divide(Y - F.col("_top"), F.col("_bottom") - F.col("_top"))).otherwise(F.col("_best.v"))
+    u = F.when(none, F.try_divide(F.col("at_x") - F.col("_left"), F.col("_right") - F.col("_left")))
+    u = u.when(F.col("cal")["corners"].isNotNull(), W.corner_share(F.col("cal")["corners"], F.col("at_x"), F.col("y"))).otherwise(F.col("_best.i") / F.lit(float(steps)))
+    v = F.when(none, F.try_divide(F.col("y") - F.col("_top"), F.col("_bottom") - F.col("_top"))).otherwise(F.col("_best.v"))
     return out.withColumns({"u": u, "v": v}).drop("_best", "_left", "_right", "_top", "_bottom", "at_x", "moved")
 
 
@@ -132,13 +131,13 @@ def gates(df: DataFrame, low: Column, high: Column, evaluation: bool = False) ->
     the wall's pad straight up and down, not perpendicular to the lines, and lets
     runs without calibration through.
     """
-    corners, top, bottom = CAL["corners"], CAL["top"], CAL["bottom"]
+    corners, top, bottom = F.col("cal")["corners"], F.col("cal")["top"], F.col("cal")["bottom"]
     high_y, low_y = W.corner_y(corners)
-    out = df.withColumns({"_t": high_y, "_b": low_y}).withColumn("_y", F.least(F.greatest(Y, F.col("_t")), F.col("_b")))
+    out = df.withColumns({"_t": high_y, "_b": low_y}).withColumn("_y", F.least(F.greatest(F.col("y"), F.col("_t")), F.col("_b")))
     left, right = W.corner_x(corners, F.col("_y"))
-    over, under = (Y - W.y_at(top, X), W.y_at(bottom, X) - Y) if evaluation else (W.below(top, X, Y), -W.below(bottom, X, Y))
+    over, under = (F.col("y") - W.y_at(top, F.col("x")), W.y_at(bottom, F.col("x")) - F.col("y")) if evaluation else (W.below(top, F.col("x"), F.col("y")), -W.below(bottom, F.col("x"), F.col("y")))
     out = out.withColumns({
-        "_l": left, "_r": right, "_over": over, "_under": under, "_floor": -W.below(bottom, X, Y), "_u": W.progress(bottom, X, Y),
+        "_l": left, "_r": right, "_over": over, "_under": under, "_floor": -W.below(bottom, F.col("x"), F.col("y")), "_u": W.progress(bottom, F.col("x"), F.col("y")),
         "_cornered": corners.isNotNull(), "_lined": top.isNotNull() & bottom.isNotNull(),
     })
     span = F.coalesce(F.abs(high - low), F.lit(0.0))
@@ -146,15 +145,15 @@ def gates(df: DataFrame, low: Column, high: Column, evaluation: bool = False) ->
     def gate(kind: str) -> Column:
         pad, share = PADS[kind]
         wide = F.greatest(F.lit(pad), share * F.greatest(F.lit(0.0), F.col("_r") - F.col("_l")))
-        quad, along = X.between(F.col("_l") - wide, F.col("_r") + wide), F.col("_u").between(-share, 1 + share)
+        quad, along = F.col("x").between(F.col("_l") - wide, F.col("_r") + wide), F.col("_u").between(-share, 1 + share)
         band = F.lit(True)
         if kind == "wall":
-            quad &= Y.between(F.col("_t") - wide, F.col("_b") + wide)
+            quad &= F.col("y").between(F.col("_t") - wide, F.col("_b") + wide)
             band = F.coalesce((F.col("_over") >= -pad) & (F.col("_under") >= -pad), F.lit(False))
         if kind == "chunk":
             band = F.col("_floor") >= -pad
-            quad &= F.when(F.col("_lined"), band).otherwise(Y <= F.col("_b") + pad)
-        none = F.lit(True) if evaluation else W.in_range(low, high, X, F.greatest(F.lit(pad), share * span))
+            quad &= F.when(F.col("_lined"), band).otherwise(F.col("y") <= F.col("_b") + pad)
+        none = F.lit(True) if evaluation else W.in_range(low, high, F.col("x"), F.greatest(F.lit(pad), share * span))
         return F.when(F.col("_cornered"), quad).when(F.col("_lined"), band & along).otherwise(none)
 
     return out.withColumns({kind: gate(kind) for kind in PADS}).drop("_t", "_b", "_y", "_l", "_r", "_over", "_under", "_floor", "_u", "_cornered", "_lined")

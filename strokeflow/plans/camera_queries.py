@@ -9,7 +9,6 @@ from ..functions import camera as V
 from ..operators import judging as J
 from . import bindings as B
 
-X, Y = F.col("x"), F.col("y")
 H = [0.02, 0.001, 1.0, -0.0005, 0.03, 2.0, 0.00001, 0.0002, 1.0]
 
 
@@ -39,7 +38,7 @@ def j07(spark, sf):
 )
 def j09(spark, sf):
     h = F.array(*map(F.lit, H))
-    rows = seen(spark, sf).withColumn("p", V.apply_homography(h, X, Y)).withColumn("q", V.apply_homography(V.invert_homography(h), F.col("p.u"), F.col("p.v")))
+    rows = seen(spark, sf).withColumn("p", V.apply_homography(h, F.col("x"), F.col("y"))).withColumn("q", V.apply_homography(V.invert_homography(h), F.col("p.u"), F.col("p.v")))
     return rows.select("run_id", "frame", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"), F.round("q.u", 5).alias("x"), F.round("q.v", 5).alias("y"))
 
 
@@ -52,7 +51,7 @@ def j09_undistort(spark, sf):
     """Undistorted, and distorted again."""
     k1 = F.when(F.col("run_id") % 3 > 0, -0.08)
     lens = (k1, F.lit(500.0), F.lit(400.0), F.lit(1000.0))
-    rows = seen(spark, sf).withColumn("u", V.undistort(X, Y, *lens)).withColumn("d", V.distort(F.col("u.x"), F.col("u.y"), *lens))
+    rows = seen(spark, sf).withColumn("u", V.undistort(F.col("x"), F.col("y"), *lens)).withColumn("d", V.distort(F.col("u.x"), F.col("u.y"), *lens))
     return rows.select("run_id", "frame", F.round("u.x", 6).alias("ux"), F.round("u.y", 6).alias("uy"), F.round("d.x", 5).alias("back_x"), F.round("d.y", 5).alias("back_y"))
 
 
@@ -128,13 +127,13 @@ def j19(spark, sf):
 
     w = Window.partitionBy("run_id").orderBy("frame")
     p = seen(spark, sf).select("run_id", "frame", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).filter("x1 IS NOT NULL")
-    rows = p.withColumn("l", V.line_through(X, Y, F.col("x1"), F.col("y1"))).filter("l IS NOT NULL")
+    rows = p.withColumn("l", V.line_through(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))).filter("l IS NOT NULL")
     other = F.struct(F.lit(0.6).alias("a"), F.lit(0.8).alias("b"), F.lit(-500.0).alias("c"))
     met = V.meet(F.col("l"), other)
-    turn = V.direction_delta(F.col("x1") - X, F.col("y1") - Y, F.lit(2.0), F.lit(1.0))
+    turn = V.direction_delta(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"), F.lit(2.0), F.lit(1.0))
     return rows.select(
         "run_id", "frame", (F.round("l.a", 6) + 0.0).alias("a"), (F.round("l.b", 6) + 0.0).alias("b"), (F.round(met["x"], 3) + 0.0).alias("meet_x"), F.round(turn, 5).alias("turn"),
-        F.round(V.cross_ratio(X, Y, F.lit(3.0), F.lit(5.0)), 5).alias("cross_ratio"),
+        F.round(V.cross_ratio(F.col("x"), F.col("y"), F.lit(3.0), F.lit(5.0)), 5).alias("cross_ratio"),
     )
 
 
@@ -170,6 +169,6 @@ def j14(spark, sf):
 )
 def j18(spark, sf):
     t = seen(spark, sf)
-    box = V.screen_box(X / 1100, Y / 1100, F.col("width") / 100, F.col("height") / 100, F.lit(100.0), F.lit(50.0), F.lit(800.0), F.lit(450.0))
+    box = V.screen_box(F.col("x") / 1100, F.col("y") / 1100, F.col("width") / 100, F.col("height") / 100, F.lit(100.0), F.lit(50.0), F.lit(800.0), F.lit(450.0))
     fit = V.fitted(F.col("width"), F.col("height"), F.lit(400.0), F.lit(300.0))
     return fixed(t, sx=box["x"], sy=box["y"], fx=fit["x"])

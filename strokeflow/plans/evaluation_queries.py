@@ -8,7 +8,7 @@ from ..catalog import register
 from ..functions import camera as V
 from ..operators import evaluation as E
 from . import bindings as B
-from .judging_queries import PLACED, X, Y, placed, y_at
+from .judging_queries import PLACED, placed, y_at
 
 
 def clips(spark, sf):
@@ -32,7 +32,7 @@ def c18(spark, sf):
     f"""WITH {PLACED} SELECT run_id, frame, x BETWEEN least(tx0, tx1, bx0, bx1) - 15 AND greatest(tx0, tx1, bx0, bx1) + 15 AND y <= by0 + least(1, greatest(0, (x - bx0) / (bx1 - bx0))) * (by1 - by0) + 20 AS inside FROM p""",
 )
 def c19(spark, sf):
-    return placed(spark, sf).select("run_id", "frame", E.wall_region(F.col("cal"), X, Y, 15.0, 20.0).alias("inside"))
+    return placed(spark, sf).select("run_id", "frame", E.wall_region(F.col("cal"), F.col("x"), F.col("y"), 15.0, 20.0).alias("inside"))
 
 
 def sluggish(spark, sf):

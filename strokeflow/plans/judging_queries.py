@@ -16,7 +16,6 @@ def placed(spark, sf, known: bool = True):
     return rows.filter(F.col("cal.top").isNotNull()) if known else rows
 
 
-CAL, X, Y = F.col("cal"), F.col("x"), F.col("y")
 
 
 # The same geometry as SQL text: lines are named by the prefix of their columns.
@@ -63,10 +62,10 @@ CALL = "CASE WHEN reason = 'outside_wall_x_bounds' THEN NULL WHEN reason LIKE 'b
       round(ty0 + (ty1 - ty0) * (y / 1000), 6) AS py, round({progress('b')}, 6) AS along, round(sqrt(power(tx1 - tx0, 2) + power(ty1 - ty0, 2)), 6) AS length FROM p""",
 )
 def j01(spark, sf):
-    top = CAL["top"]
-    px, py = W.point_at(top, Y / 1000)
-    made = {"y_at": W.y_at(top, X), "distance": W.below(top, X, Y), "px": px, "py": py, "along": W.progress(CAL["bottom"], X, Y), "length": W.length(top)}
-    return placed(spark, sf).select("run_id", "frame", W.spans_x(top, X).alias("spans"), *[F.round(c, 6).alias(n) for n, c in made.items()])
+    top = F.col("cal")["top"]
+    px, py = W.point_at(top, F.col("y") / 1000)
+    made = {"y_at": W.y_at(top, F.col("x")), "distance": W.below(top, F.col("x"), F.col("y")), "px": px, "py": py, "along": W.progress(F.col("cal")["bottom"], F.col("x"), F.col("y")), "length": W.length(top)}
+    return placed(spark, sf).select("run_id", "frame", W.spans_x(top, F.col("x")).alias("spans"), *[F.round(c, 6).alias(n) for n, c in made.items()])
 
 
 @register(
@@ -76,10 +75,10 @@ def j01(spark, sf):
       round(sqrt(power(greatest(lo - x, 0, x - hi), 2) + power(greatest(150 - y, 0, y - 860), 2)), 6) AS outside FROM q""",
 )
 def j02(spark, sf):
-    c = CAL["corners"]
-    low, high = W.corner_x(c, Y)
-    made = {"low": low, "high": high, "share": W.corner_share(c, X, Y), "outside": W.outside_distance(c, X, Y)}
-    return placed(spark, sf).filter(c.isNotNull()).select("run_id", "frame", W.in_corners(c, X, Y).alias("inside"), *[F.round(v, 6).alias(n) for n, v in made.items()])
+    c = F.col("cal")["corners"]
+    low, high = W.corner_x(c, F.col("y"))
+    made = {"low": low, "high": high, "share": W.corner_share(c, F.col("x"), F.col("y")), "outside": W.outside_distance(c, F.col("x"), F.col("y"))}
+    return placed(spark, sf).filter(c.isNotNull()).select("run_id", "frame", W.in_corners(c, F.col("x"), F.col("y")).alias("inside"), *[F.round(v, 6).alias(n) for n, v in made.items()])
 
 
 @register("j03_clamped_x", f"WITH {clamped('b')} SELECT run_id, frame, round(cx, 6) AS cx, moved FROM j")
@@ -120,7 +119,7 @@ def j05(spark, sf):
 
 
 #: A range of x for runs without calibration.
-LOW, HIGH = F.lit(800.0), F.lit(200.0)
+LOW, HIGH = 800.0, 200.0
 ANY = "p AS (SELECT t.run_id, frame, x, y, c.* EXCLUDE (run_id) FROM track t JOIN calibrations c ON t.run_id = c.run_id WHERE detected), q AS (SELECT *, least(greatest(y, 150), 860) AS cy FROM p), h AS (SELECT *, {left} AS l, {right} AS r FROM q)"
 GATES = ANY.format(left=edges("cy")[0], right=edges("cy")[1])
 
@@ -139,12 +138,12 @@ def gate_sql(kind: str, vertical: bool) -> str:
 
 @register("c09_wall_gates", f"WITH {GATES} SELECT run_id, frame, {gate_sql('wall', False)} AS wall, {gate_sql('side', False)} AS side, {gate_sql('chunk', False)} AS chunk FROM h")
 def c09(spark, sf):
-    return J.gates(placed(spark, sf, False), LOW, HIGH).select("run_id", "frame", "wall", "side", "chunk")
+    return J.gates(placed(spark, sf, False), F.lit(LOW), F.lit(HIGH)).select("run_id", "frame", "wall", "side", "chunk")
 
 
 @register("c10_evaluation_gates", f"WITH {GATES} SELECT run_id, frame, {gate_sql('wall', True)} AS wall, {gate_sql('side', True)} AS side, {gate_sql('chunk', True)} AS chunk FROM h")
 def c10(spark, sf):
-    return J.gates(placed(spark, sf, False), LOW, HIGH, evaluation=True).select("run_id", "frame", "wall", "side", "chunk")
+    return J.gates(placed(spark, sf, False), F.lit(LOW), F.lit(HIGH), evaluation=True).select("run_id", "frame", "wall", "side", "chunk")
 
 
 @register(
@@ -177,8 +176,8 @@ def a21(spark, sf):
     ends = lambda l: F.array(F.array(l["x0"], l["y0"]), F.array(l["x1"], l["y1"]))
     named = lambda n, l: F.struct(F.lit(n).alias("name"), ends(l).alias("endpoints"))
     tap = lambda n, c: F.struct(F.lit(n).alias("id"), F.when(c.isNotNull(), F.array(c["x"], c["y"])).alias("tap_px"))
-    lines = F.array(named("out_line_lower_edge", CAL["bottom"]), named("out_line_lower_edge", CAL["top"]), named("tin_top_edge", CAL["bottom"]), named("service_line_top_edge", CAL["service"]))
-    corners = F.array(*[tap(n, CAL["corners"][c]) for n, c in (("top_left", "tl"), ("top_right", "tr"), ("bottom_right", "br"), ("bottom_left", "bl"))])
+    lines = F.array(named("out_line_lower_edge", F.col("cal")["bottom"]), named("out_line_lower_edge", F.col("cal")["top"]), named("tin_top_edge", F.col("cal")["bottom"]), named("service_line_top_edge", F.col("cal")["service"]))
+    corners = F.array(*[tap(n, F.col("cal")["corners"][c]) for n, c in (("top_left", "tl"), ("top_right", "tr"), ("bottom_right", "br"), ("bottom_left", "bl"))])
     document = F.to_json(F.struct(lines.alias("lines"), F.struct(F.struct(corners.alias("corners")).alias("wall")).alias("planes")))
     parsed = B.calibrations(spark, sf).select("run_id", W.parse_calibration(document).alias("c"))
     return parsed.select(

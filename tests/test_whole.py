@@ -10,29 +10,40 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from strokeflow import catalog
-from strokeflow.operators import sessions
+from strokeflow.functions import wall
+from strokeflow.operators import judging, sessions
 from strokeflow.plans import bindings as B
+from strokeflow.plans import judging_queries
 
 SF = "/root/testdata/sf0.001"
 catalog.load()
 
 
-def test_wall_diagram_of_every_frame(spark):
-    points = {(r.run_id, r.frame): (r.x, r.y) for r in B.track(spark, SF).filter("detected").collect()}
-    got = {(r.run_id, r.frame): r.u for r in catalog.QUERIES["j05_wall_diagram_whole"](spark, SF).collect()}
-    assert got.keys() == points.keys() and max(f for _, f in got) > 12
+def test_wall_diagram_is_the_nearest_of_1001_connectors(spark):
+    points = judging_queries.placed(spark, SF).collect()
+    got = {(r.run_id, r.frame): r.i for r in judging.diagram(judging_queries.placed(spark, SF).withColumn("cal", F.col("cal").withField("corners", F.lit(None).cast(wall.CORNERS)))).selectExpr("run_id", "frame", "round(u * 1000) AS i").collect()}
     u = np.arange(1001) / 1000
-    ax, ay, bx, by = 100 + 900 * u, 50 + 20 * u, 80 + 950 * u, 900 - 10 * u
-    for at, (x, y) in points.items():
-        off = np.abs(((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / np.hypot(bx - ax, by - ay))
-        i = round(got[at] * 1000)
-        assert off[i] <= off.min() + 1e-9 and (off[:i] >= off[i] - 1e-9).all()
+    assert len(got) == len(points) and max(f for _, f in got) > 12
+    for r in points[::7]:
+        t, b = r.cal.top, r.cal.bottom
+        left, right = max(t.x0, b.x0), min(t.x1, b.x1)
+        x = min(right, max(left, r.x))
+        over = (t.x1 - t.x0) * (r.y - t.y0) - (t.y1 - t.y0) * (x - t.x0)
+        under = (b.x1 - b.x0) * (r.y - b.y0) - (b.y1 - b.y0) * (x - b.x0)
+        x = x if over > 0 > under else r.x
+        ax, ay, vx, vy = t.x0 + (t.x1 - t.x0) * u, t.y0 + (t.y1 - t.y0) * u, 0, 0
+        vx, vy = b.x0 + (b.x1 - b.x0) * u - ax, b.y0 + (b.y1 - b.y0) * u - ay
+        v = ((x - ax) * vx + (r.y - ay) * vy) / (vx * vx + vy * vy)
+        off = (x - ax - vx * v) ** 2 + (r.y - ay - vy * v) ** 2
+        assert off[int(got[r.run_id, r.frame])] <= off.min() + 1e-9
 
 
 def test_tiles_of_every_part(spark):
     parts = {r.p_partkey for r in B.read(spark, SF, "part").collect()}
-    got = {(r.p_partkey, r.x0) for r in catalog.QUERIES["j17_tile_origins_whole"](spark, SF).collect()}
+    got = {(r.p_partkey, r.x0) for r in catalog.QUERIES["j17_tile_origins"](spark, SF).collect()}
     assert got == {(p, min(352 * i, 1504)) for p in parts for i in range(6)} and len(parts) > 4
 
 
@@ -78,7 +89,7 @@ def test_chunks_of_whole_runs(spark):
             if plausible(last, p):
                 accepted.add((run, p[0]))
                 last = p
-    assert {tuple(r) for r in catalog.QUERIES["g13_plausible_chunks_whole"](spark, SF).collect()} == accepted and max(f for _, f in accepted) >= 300
+    assert {tuple(r) for r in catalog.QUERIES["g13_plausible_chunks"](spark, SF).collect()} == accepted and max(f for _, f in accepted) >= 300
     got = sorted(tuple(r) for r in catalog.QUERIES["g13_front_wall_chunks"](spark, SF).collect())
     assert got == sorted((run, *c) for run, points in runs.items() for c in brute_chunks(points))
 
@@ -89,9 +100,9 @@ def test_labels_and_windows_reach_the_end_of_a_run(spark):
         ends[r.run_id] = max(ends[r.run_id], r.frame)
         hits[r.run_id, r.event_type].add(r.frame)
     near = lambda kind: {(run, g) for (run, k), fs in hits.items() if k == kind for f in fs for g in range(max(1, f - 2), min(ends[run], f + 2) + 1)}
-    got = [tuple(r) for r in catalog.QUERIES["i02_label_dilation_whole"](spark, SF).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["i02_label_dilation"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == near("racket") and max(f for _, f in got) > 42
-    got = catalog.QUERIES["g07_refine_windows_whole"](spark, SF).collect()
+    got = catalog.QUERIES["g07_refine_windows"](spark, SF).collect()
     assert {(r.run_id, f) for r in got for f in range(r.start, r.end + 1)} == near("floor") and sum(r.parts for r in got) == sum(len(fs) for (_, k), fs in hits.items() if k == "floor")
 
 
@@ -119,9 +130,9 @@ def test_every_row_has_a_score(spark, name):
 
 def test_merges_take_the_whole_old_side(spark):
     ids = sorted(r.event_id for r in B.read(spark, SF, "events").collect())
-    got = catalog.QUERIES["i06_merge_cases_whole"](spark, SF).collect()
+    got = catalog.QUERIES["i06_merge_cases"](spark, SF).collect()
     assert sorted(r.event_id for r in got) == ids and {r.event_id for r in got if r.call == "old"} == {i for i in ids if i % 3}
-    got = catalog.QUERIES["b07_upsert_by_frame_whole"](spark, SF).collect()
+    got = catalog.QUERIES["b07_upsert_by_frame"](spark, SF).collect()
     assert {r.event_id for r in got} == {i for i in ids if i % 5 or i % 3} and {r.event_id for r in got if r.payload == "old"} == {i for i in ids if i % 5}
 
 
