@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from .plans import aggregate_queries, attribution_queries, camera_queries, detection_queries, document_queries, evaluation_queries, function_queries, join_queries, judging_queries, model_queries, scan_queries, session_queries, set_queries, stream_queries, window_queries  # noqa: F401
+    from .plans import aggregate_queries, attribution_queries, camera_queries, detection_queries, document_queries, evaluation_queries, function_queries, join_queries, judging_queries, model_queries, remaining_queries, scan_queries, session_queries, set_queries, stream_queries, window_queries  # noqa: F401

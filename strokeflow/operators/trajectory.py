@@ -156,3 +156,21 @@ def event_gaps(df: DataFrame) -> DataFrame:
     """time from the previous and to the next event."""
     w = by_frame()
     return df.withColumns({"gap_prev": F.col("t") - F.lag("t").over(w), "gap_next": F.lead("t").over(w) - F.col("t")})
+
+
+def steps(df: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """time and speed (at most ``most``) from the sample before, for samples (t, x_ft, y_ft) of each key; pauses of no time are skipped."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    step = F.hypot(F.col("x_ft") - F.lag("x_ft").over(w), F.col("y_ft") - F.lag("y_ft").over(w))
+    rows = df.withColumns({"dt": F.col("t") - F.lag("t").over(w), "_step": step}).filter("dt > 0")
+    return rows.withColumn("speed", F.least(F.lit(most), F.col("_step") / F.col("dt"))).drop("_step")
+
+
+def velocity_around(df: DataFrame, frames: int) -> DataFrame:
+    """speeds before and after each frame (it included), their ratio and the turn in degrees, for frames with two samples on either side."""
+    rows = slopes(df, frames).filter("n_before >= 2 AND n_after >= 2")
+    rows = rows.withColumns({"speed_before": F.hypot("x_before", "y_before"), "speed_after": F.hypot("x_after", "y_after")})
+    both = F.col("speed_before") * F.col("speed_after")
+    cosine = F.try_divide(F.col("x_before") * F.col("x_after") + F.col("y_before") * F.col("y_after"), F.when(both > 0, both))
+    turn = F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
+    return rows.withColumns({"ratio": F.try_divide(F.col("speed_after"), F.when(F.col("speed_before") > 0, F.col("speed_before"))), "turn": turn})

@@ -273,3 +273,16 @@ def merged_jobs(jobs: DataFrame, updates: DataFrame, restarted: bool = False) ->
 def colliding_names(rows: DataFrame, slug: Column) -> DataFrame:
     """Names that different sources (column source) would be written under, with their number; a writer refuses if there are any."""
     return rows.select(slug.alias("name"), "source").distinct().groupBy("name").agg(F.count("*").alias("sources")).filter("sources > 1")
+
+
+def without_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without those of the runs in ``wanted`` (run_id, status) that are not running."""
+    return rows.join(wanted.filter("status IS NULL OR status <> 'running'").select("run_id").distinct(), "run_id", "left_anti")
+
+
+def collected_cases(corrections: DataFrame, truth: DataFrame, detected: DataFrame, labels: DataFrame) -> DataFrame:
+    """Kind and case_id of the cases of three sources: corrections (run_id, frame, type) of a known type, truth events (the same) of runs that were ``detected`` (run_id), and labels (name, frame)."""
+    case = lambda kind, prefix, of: (F.lit(kind).alias("kind"), F.concat(F.lit(prefix + ":"), of, F.lit(":"), "frame").alias("case_id"))
+    known = corrections.filter(F.col("type").isin(*HIT_TYPES, "none") & F.col("frame").isNotNull())
+    events = truth.filter(F.lower("type").isin(*HIT_TYPES)).join(detected.select("run_id").distinct(), "run_id", "left_semi")
+    return known.select(*case("correction", "corr", "run_id")).unionByName(events.select(*case("ground_truth_event", "gt", "run_id"))).unionByName(labels.select(*case("label_csv_event", "lbl", "name")))

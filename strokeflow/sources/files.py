@@ -44,17 +44,28 @@ def normal_labels(rows: DataFrame) -> DataFrame:
     return last_per_frame(good)
 
 
+def json_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """JSON lines (value); blank lines and // comments are skipped, malformed ones give nulls."""
+    kept = lines.filter("trim(value) <> '' AND NOT ltrim(value) LIKE '//%'")
+    return kept.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank lines and // comments are skipped, malformed ones give nulls."""
-    lines = spark.read.text(path).filter("trim(value) <> '' AND NOT ltrim(value) LIKE '//%'")
-    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    """:func:`json_lines` of files."""
+    return json_lines(spark.read.text(path), schema)
+
+
+def track_lines(rows: DataFrame) -> DataFrame:
+    """The fields of a track's lines as text: fixed decimals, rounded half to even, and blanks where undetected."""
+    fixed = lambda c, n: F.format_string(f"%.{n}f", F.bround(c, n))
+    seen = lambda c: F.when(F.col("detected"), fixed(c, 3)).otherwise("")
+    return rows.select("run_id", "frame", fixed("t", 6).alias("t"), F.col("detected").cast("string").alias("detected"), seen("x").alias("x"), seen("y").alias("y"))
 
 
 def write_track_csv(rows: DataFrame, path: str) -> None:
-    """Sorted within runs, fixed decimals, blanks where undetected."""
-    fixed = lambda c, n: F.when(F.col("detected"), F.format_string(f"%.{n}f", c)).otherwise("")
-    out = rows.select("run_id", "frame", F.format_string("%.6f", "t").alias("t"), F.col("detected").cast("string").alias("detected"), fixed("x", 3).alias("x"), fixed("y", 3).alias("y"))
-    out.repartition("run_id").sortWithinPartitions("run_id", "frame").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """:func:`track_lines`, sorted within runs, with a header."""
+    out = track_lines(rows).repartition("run_id").sortWithinPartitions("run_id", "frame")
+    out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strokeflow.functions import wall
-from strokeflow.operators import attribution, detections, judging
+from strokeflow.operators import attribution, detections, fits, judging
 from strokeflow.sources import documents
 
 CORNERS = ((0.0, 100.0), (1000.0, 100.0), (1000.0, 700.0), (0.0, 700.0))
@@ -134,3 +134,19 @@ def test_documents_round_trip(spark, tmp_path):
     (tmp_path / "out" / "uploads" / "x.txt").write_text("{}")
     read = documents.read_documents(spark, str(tmp_path / "out" / "*" / "*.txt"))
     assert sorted(r.body.strip() for r in read.collect()) == sorted(r.body for r in body.collect()) and all(r.modified is not None for r in read.collect())
+
+
+def test_fingerprint_clusters(spark):
+    v = {0: (1.0, 0.0), 1: (0.96, 0.28), 2: (0.0, 1.0), 3: (1.0, 0.0), 4: (0.28, 0.96), 5: (0.6, -0.8)}
+    got = fits.cluster_fingerprints(spark.createDataFrame([(1, i, list(x)) for i, x in v.items()], "run_id long, i long, v array<double>"), 0.9, 2)
+    assert sorted((r.cluster, r.i) for r in got.collect()) == [(0, 0), (0, 1), (0, 3), (1, 2), (1, 4)]
+
+
+def test_homography_needs_four_points_off_a_line(spark):
+    import numpy as np
+
+    h = np.array([[2.0, 0.3, 5.0], [0.1, 3.0, -4.0], [0.001, 0.002, 1.0]])
+    src = np.array([(0, 0), (21, 0), (21, 32), (0, 32), (9, 14)], float)
+    p = h @ np.vstack([src.T, np.ones(5)])
+    assert np.allclose(fits.homography(src, (p[:2] / p[2]).T), h, atol=1e-9)
+    assert fits.homography(src[:3], src[:3]) is None and fits.homography(np.array([(i, 2 * i) for i in range(5)], float), src) is None
