@@ -96,12 +96,20 @@ def robust_threshold(series: DataFrame, keys: list[str], value: str, k: float =
 
 
 def ambiguity_confidence(rallies: DataFrame, moments: DataFrame) -> DataFrame:
-    """1 less the ambiguous moments in (previous end, start] of each rally, 0 at least; null for the first."""
+    """1 less the ambiguous moments in (previous end, start] of each rally, 0 at least; null for the first.
+
+    Moments and the rallies' borders stand in one order of time; a running
+    count at both borders of a pause gives the moments within it.
+    """
     w = Window.partitionBy(*KEY).orderBy("rally_number")
-    spans = rallies.withColumn("_prev", F.lag("end_t").over(w))
-    met = spans.join(moments, KEY).filter((F.col("at") > F.col("_prev")) & (F.col("at") <= F.col("start_t"))).groupBy(*KEY, "rally_number").agg(F.count("*").alias("n"))
-    joined = spans.join(met, [*KEY, "rally_number"], "left")
-    return joined.select(*KEY, "rally_number", F.when(F.col("_prev").isNotNull(), F.greatest(F.lit(0), 1 - F.coalesce("n", F.lit(0)))).cast("double").alias("confidence"))
+    spans = rallies.select(*KEY, "rally_number", "start_t", F.lag("end_t").over(w).alias("_prev"))
+    none = F.lit(None).cast("long")
+    marks = [spans.select(*KEY, F.col(at).alias("at"), F.col("rally_number").cast("long").alias("_rally"), F.lit(sign).alias("_sign"), F.lit(0).alias("_one")) for at, sign in (("start_t", 1), ("_prev", -1))]
+    points = marks[0].unionByName(marks[1].filter("at IS NOT NULL")).unionByName(moments.select(*KEY, "at", none.alias("_rally"), F.lit(0).alias("_sign"), F.lit(1).alias("_one")))
+    upto = F.sum("_one").over(Window.partitionBy(*KEY).orderBy("at"))  # moments at the same time included
+    counted = points.withColumn("_upto", upto).filter("_rally IS NOT NULL").groupBy(*KEY, F.col("_rally").alias("rally_number"))
+    met = counted.agg(F.sum(F.col("_sign") * F.col("_upto")).alias("_n"), F.count_if(F.col("_sign") < 0).alias("_paused"))
+    return met.select(*KEY, "rally_number", F.when(F.col("_paused") > 0, F.greatest(F.lit(0), 1 - F.col("_n"))).cast("double").alias("confidence"))
 
 
 def binary_metrics(truth: Column, predicted: Column) -> list[Column]:

@@ -68,10 +68,17 @@ def rally_lookup(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame
     return timed.withColumn("rally_found", F.coalesce(key, "_by_time", "_by_frame")).drop("_by_time", "_by_frame")
 
 
-def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Intervals of ``a`` stretched to the hull with the intervals of ``b`` that overlap them."""
-    other = b.select(*KEY, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = a.join(other, KEY).filter((F.col("start") <= F.col("_e")) & (F.col("_s") <= F.col("end")))
+def overlapping(a: DataFrame, b: DataFrame, width: float = 16.0) -> DataFrame:
+    """Intervals of ``a`` stretched to the hull with the intervals of ``b`` that overlap them.
+
+    Both sides are listed under each bucket that they meet; a pair counts in
+    the first bucket that both meet.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    under = lambda df, s, e: df.withColumn("_b", F.explode(F.sequence(bucket(s), bucket(e))))
+    other = under(b.select(*KEY, F.col("start").alias("_s"), F.col("end").alias("_e")).filter("_s <= _e"), "_s", "_e")
+    met = under(a.filter("start <= end"), "start", "end").join(other, [*KEY, "_b"])
+    met = met.filter((F.col("start") <= F.col("_e")) & (F.col("_s") <= F.col("end")) & (F.col("_b") == F.greatest(bucket("start"), bucket("_s"))))
     return met.groupBy(*KEY, "start", "end").agg(F.least("start", F.min("_s")).alias("hull_start"), F.greatest("end", F.max("_e")).alias("hull_end"), F.count("*").alias("n"))
 
 
@@ -115,10 +122,14 @@ def dense(df: DataFrame, lattice: DataFrame, keys: list[str], counts: list[str])
 
 
 def neighbours_wrapped(labels: DataFrame, frames: DataFrame) -> DataFrame:
-    """The next and the previous label of a frame, strict, wrapping around; the frame itself where a run has none."""
-    lab = labels.groupBy(*KEY).agg(F.array_sort(F.collect_set("frame")).alias("l"))
-    rows = frames.join(lab, KEY, "left").withColumn("l", F.coalesce("l", F.array().cast("array<bigint>")))
-    ahead, behind = F.filter("l", lambda x: x > F.col("frame")), F.filter("l", lambda x: x < F.col("frame"))
-    return rows.select(
-        *KEY, "frame", F.coalesce(F.array_min(ahead), F.array_min("l"), "frame").alias("next_label"), F.coalesce(F.array_max(behind), F.array_max("l"), "frame").alias("previous_label")
-    )
+    """The next and the previous label of a frame, strict, wrapping around; the frame itself where a run has none.
+
+    Labels and frames stand in one order, so one sort by run replaces the join.
+    """
+    frame = F.col("frame").cast("long").alias("frame")
+    both = frames.select(*KEY, frame, F.lit(None).cast("long").alias("_label")).unionByName(labels.select(*KEY, frame, frame.alias("_label")).distinct())
+    w, run = Window.partitionBy(*KEY).orderBy("frame"), Window.partitionBy(*KEY)
+    ahead = F.min("_label").over(w.rangeBetween(1, Window.unboundedFollowing))
+    behind = F.max("_label").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    rows = both.withColumns({"next_label": F.coalesce(ahead, F.min("_label").over(run), "frame"), "previous_label": F.coalesce(behind, F.max("_label").over(run), "frame")})
+    return rows.filter("_label IS NULL").drop("_label")

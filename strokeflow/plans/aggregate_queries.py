@@ -78,6 +78,16 @@ def e08(spark, sf):
     return A.coaching(j, 8)
 
 
+@register(
+    "e07_player_outcomes",
+    f"""WITH {CHAIN}, j AS (SELECT h.*, CAST(CASE WHEN rally_hit_sequence % 2 = 1 THEN server ELSE 3 - server END AS INT) AS player,
+      CASE WHEN winner IS NULL THEN 'none' WHEN winner = CASE WHEN rally_hit_sequence % 2 = 1 THEN server ELSE 3 - server END THEN 'won' ELSE 'lost' END AS outcome FROM rally_hits h JOIN cw USING (run_id, rally_number))
+      SELECT run_id, player, outcome, {SHOTS} FROM j WHERE outcome <> 'none' GROUP BY run_id, player, outcome""",
+)
+def e07(spark, sf):
+    return e08(spark, sf).filter("level = 0 AND outcome <> 'none'").drop("level")
+
+
 @register(
     "e09_pooled_recent_runs",
     f"""WITH r AS (SELECT run_id, max(event_id) AS created FROM hits GROUP BY run_id ORDER BY created DESC, run_id DESC LIMIT 8) SELECT frame % 2 + 1 AS player, {SHOTS} FROM front JOIN r USING (run_id) GROUP BY player""",
