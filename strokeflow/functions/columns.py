@@ -24,6 +24,11 @@ def inside_quad_x(left: Column, right: Column, x: Column, pad: float = 0.0) -> C
     return x.between(F.least(left, right) - pad, F.greatest(left, right) + pad)
 
 
+def front_wall(kind: Column) -> Column:
+    """Whether an event of this kind counts as a hit of the front wall: one without a kind does, and an unknown one."""
+    return kind.isNull() | kind.isin("wall", "unknown")
+
+
 def target_zone(x: Column, y: Column) -> Column:
     """Zones 1 to 9, left to right and within a side from lob to low; outside points are clamped."""
     side = F.when(x < CENTER_LEFT, 0).when(x <= CENTER_RIGHT, 1).otherwise(2)

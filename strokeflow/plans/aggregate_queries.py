@@ -45,7 +45,7 @@ SHOTS = f"""count(*) AS shots, round(avg({C.OUT_FT}::DOUBLE - y * {C.OUT_FT - C.
 
 @register("e04_shot_metrics", f"SELECT run_id, {SHOTS} FROM front GROUP BY run_id")
 def e04(spark, sf):
-    return B.hits(spark, sf).filter("event_type = 'wall'").groupBy("run_id").agg(*A.shot_metrics(8))
+    return B.hits(spark, sf).filter(C.front_wall(F.col("event_type"))).groupBy("run_id").agg(*A.shot_metrics(8))
 
 
 @register(
@@ -95,7 +95,7 @@ def e07(spark, sf):
 def e09(spark, sf):
     h = B.hits(spark, sf)
     recent = h.groupBy("run_id").agg(F.max("event_id").alias("created")).orderBy(F.desc("created"), F.desc("run_id")).limit(8).select("run_id")
-    pooled = h.filter("event_type = 'wall'").join(F.broadcast(recent), "run_id")  # eight rows
+    pooled = h.filter(C.front_wall(F.col("event_type"))).join(F.broadcast(recent), "run_id")  # eight rows
     return pooled.groupBy((F.col("frame") % 2 + 1).alias("player")).agg(*A.shot_metrics(8))
 
 
@@ -217,7 +217,7 @@ def e22(spark, sf):
 
 @register("e23_bursts", "SELECT run_id, CAST(1 + sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) AS BIGINT) AS bursts FROM (SELECT run_id, frame - lag(frame) OVER (PARTITION BY run_id ORDER BY frame) AS gap FROM (SELECT DISTINCT run_id, frame FROM front)) GROUP BY run_id")
 def e23(spark, sf):
-    f = B.hits(spark, sf).filter("event_type = 'wall'").select("run_id", "frame").distinct()
+    f = B.hits(spark, sf).filter(C.front_wall(F.col("event_type"))).select("run_id", "frame").distinct()
     gap = F.col("frame") - F.lag("frame").over(Window.partitionBy("run_id").orderBy("frame"))
     return f.withColumn("gap", gap).groupBy("run_id").agg((1 + F.count_if(F.col("gap") > 3)).alias("bursts"))
 

@@ -79,13 +79,13 @@ AXES = f"c AS (SELECT *, x_ft - 10.5 AS px, -{SIN} * (y_ft - 40) - {COS} * (z -
 @register(
     "j10_camera",
     f"""WITH {CONTACTS}, {AXES}, u AS (SELECT *, 900 * px / pz AS ru, 900 * py / pz AS rv FROM c WHERE pz > 1e-9)
-      SELECT run_id, track, t, round(ru + 480, 5) AS u, round(rv + 270, 5) AS v, round(pz, 6) AS depth, round((-{SIN} * (rv / 900) - {COS}) / sqrt(power(ru / 900, 2) + power(rv / 900, 2) + 1), 6) AS dy, round((ru + 480) / 2, 5) AS half_u FROM u""",
+      SELECT run_id, track, t, round(ru + 480, 5) + 0.0 AS u, round(rv + 270, 5) + 0.0 AS v, round(pz, 6) AS depth, round((-{SIN} * (rv / 900) - {COS}) / sqrt(power(ru / 900, 2) + power(rv / 900, 2) + 1), 6) AS dy, round((ru + 480) / 2, 5) + 0.0 AS half_u FROM u""",
 )
 def j10(spark, sf):
     cam, p = camera(), [F.col("x_ft"), F.col("y_ft"), F.col("z")]
     rows = contacts(spark, sf).withColumns({"p": V.project(cam, *p), "half": V.project(V.scale_camera(cam, F.lit(0.5)), *p), "depth": V.depth(cam, *p)}).filter("p IS NOT NULL")
     rows = rows.withColumn("r", V.ray(cam, F.col("p.u"), F.col("p.v")))
-    return rows.select("run_id", "track", "t", F.round("p.u", 5).alias("u"), F.round("p.v", 5).alias("v"), F.round("depth", 6).alias("depth"), F.round("r.dy", 6).alias("dy"), F.round("half.u", 5).alias("half_u"))
+    return rows.select("run_id", "track", "t", (F.round("p.u", 5) + 0.0).alias("u"), (F.round("p.v", 5) + 0.0).alias("v"), F.round("depth", 6).alias("depth"), F.round("r.dy", 6).alias("dy"), (F.round("half.u", 5) + 0.0).alias("half_u"))
 
 
 @register(
@@ -104,14 +104,14 @@ def j16_calls(spark, sf):
     f"""WITH {CONTACTS}, {AXES}, r AS (SELECT *, px / pz AS a, py / pz AS b FROM c WHERE pz > 1e-9), d AS (SELECT *, a AS dx, -{SIN} * b - {COS} AS dy, -{COS} * b + {SIN} AS dz FROM r),
       k AS (SELECT *, CASE surface WHEN 'floor' THEN (0 - 12) / dz WHEN 'front_wall' THEN (0 - 40) / dy WHEN 'back_wall' THEN (32 - 40) / dy WHEN 'left_wall' THEN (0 - 10.5) / nullif(dx, 0) ELSE (21 - 10.5) / nullif(dx, 0) END AS s FROM d),
       q AS (SELECT *, 10.5 + s * dx AS qx, 40 + s * dy AS qy, 12 + s * dz AS qz FROM k WHERE s > 0),
-      g AS (SELECT *, CASE WHEN surface = 'floor' THEN qx BETWEEN -0.5 AND 21.5 AND qy BETWEEN -0.5 AND 32.5 WHEN surface IN ('front_wall', 'back_wall') THEN qx BETWEEN -0.5 AND 21.5 AND qz >= -0.5 ELSE qy BETWEEN -0.5 AND 32.5 AND qz >= -0.5 END AS ok FROM q)
-      SELECT run_id, track, t, round(qx, 7) + 0.0 AS sx, round(qy, 7) + 0.0 AS sy, round(qz, 7) + 0.0 AS sz FROM g WHERE ok""",
+      g AS (SELECT *, CASE WHEN surface = 'floor' THEN qx BETWEEN -0.4987 AND 21.4987 AND qy BETWEEN -0.4987 AND 32.4987 WHEN surface IN ('front_wall', 'back_wall') THEN qx BETWEEN -0.4987 AND 21.4987 AND qz >= -0.4987 ELSE qy BETWEEN -0.4987 AND 32.4987 AND qz >= -0.4987 END AS ok FROM q)
+      SELECT run_id, track, t, round(qx, 10) + 0.0 AS sx, round(qy, 10) + 0.0 AS sy, round(qz, 10) + 0.0 AS sz FROM g WHERE ok""",
 )
 def j16_snap(spark, sf):
     cam, p = camera(), [F.col("x_ft"), F.col("y_ft"), F.col("z")]
     rows = contacts(spark, sf).withColumn("p", V.project(cam, *p))
-    rows = rows.withColumn("s", J.let(V.ray(cam, F.col("p.u"), F.col("p.v")), lambda d: V.snap(cam, d, F.col("surface")))).filter(V.in_surface(F.col("surface"), F.col("s.x"), F.col("s.y"), F.col("s.z")))
-    return rows.select("run_id", "track", "t", *[(F.round(f"s.{c}", 7) + 0.0).alias(f"s{c}") for c in "xyz"])
+    rows = rows.withColumn("s", J.let(V.ray(cam, F.col("p.u"), F.col("p.v")), lambda d: V.snap(cam, d, F.col("surface")))).filter(V.in_surface(F.col("surface"), F.col("s.x"), F.col("s.y"), F.col("s.z"), 0.4987))
+    return rows.select("run_id", "track", "t", *[(F.round(f"s.{c}", 10) + 0.0).alias(f"s{c}") for c in "xyz"])
 
 
 @register(

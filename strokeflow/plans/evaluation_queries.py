@@ -177,12 +177,12 @@ def i09_oversampled(spark, sf):
 
 @register(
     "j15_geometry_features",
-    f"""WITH {PLACED}, g AS (SELECT *, y - {y_at('t', 'x')} AS a, {y_at('b', 'x')} - y AS b FROM p) SELECT run_id, frame, CASE WHEN x BETWEEN 30 AND 980 THEN 1.0::DOUBLE ELSE 0 END AS inside_tin, round((x - 30) / 950, 6) AS wall_x,
-      round(a / (a + b), 6) AS wall_y, round(least(abs(a), abs(b)), 6) AS nearest_line, round(least(a, b), 6) AS margin FROM g""",
+    f"""WITH {PLACED}, g AS (SELECT *, y - {y_at('t', 'x')} AS a, {y_at('b', 'x')} - y AS b FROM p) SELECT run_id, frame, CASE WHEN x BETWEEN 30 AND 980 THEN 1.0::DOUBLE ELSE 0 END AS inside_tin, round((x - 30) / 950, 9) AS wall_x,
+      round(a / (a + b), 9) AS wall_y, round(least(abs(a), abs(b)), 9) AS nearest_line, round(least(a, b), 9) AS margin FROM g""",
 )
 def j15(spark, sf):
     got = E.geometry_features(placed(spark, sf), F.lit(30.0), F.lit(980.0))
-    return got.select("run_id", "frame", "inside_tin", *[F.round(c, 6).alias(c) for c in ("wall_x", "wall_y", "nearest_line", "margin")])
+    return got.select("run_id", "frame", "inside_tin", *[F.round(c, 9).alias(c) for c in ("wall_x", "wall_y", "nearest_line", "margin")])
 
 
 @register(

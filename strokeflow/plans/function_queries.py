@@ -18,7 +18,7 @@ def c06(spark, sf):
 @register("c07_hit_predicates", "SELECT run_id, frame, event_type IS NULL OR event_type IN ('wall', 'unknown') AS front_wall, frame = 1 AS serve, call IN ('IN', 'OUT') AS assignable FROM hits")
 def c07(spark, sf):
     kind = F.col("event_type")
-    return B.hits(spark, sf).select("run_id", "frame", (kind.isNull() | kind.isin("wall", "unknown")).alias("front_wall"), (F.col("frame") == 1).alias("serve"), F.col("call").isin("IN", "OUT").alias("assignable"))
+    return B.hits(spark, sf).select("run_id", "frame", C.front_wall(kind).alias("front_wall"), (F.col("frame") == 1).alias("serve"), F.col("call").isin("IN", "OUT").alias("assignable"))
 
 
 @register("c08_range_gate", "SELECT run_id, frame FROM track WHERE detected AND x BETWEEN least(900, 200) - 10 AND greatest(900, 200) + 10")
@@ -109,6 +109,6 @@ def j20(spark, sf):
       FROM (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE call = 'OUT') AS out_ FROM front GROUP BY run_id)""",
 )
 def j23(spark, sf):
-    m = B.hits(spark, sf).filter("event_type = 'wall'").groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("call") == "OUT").alias("out_"))
+    m = B.hits(spark, sf).filter(C.front_wall(F.col("event_type"))).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("call") == "OUT").alias("out_"))
     parts = [F.when(F.col("n") > 20, F.format_string("You hit %d shots.", "n")), F.when(F.col("out_") > 5, F.format_string("%d went out.", "out_")), F.when(F.col("out_") <= 5, F.lit("Few went out."))]
     return m.select("run_id", C.prose(parts, 2).alias("text"))

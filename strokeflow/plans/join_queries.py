@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions import columns as C
 from ..operators import joins as J
 from . import bindings as B
 from .session_queries import per_rally, rally_hits
 
 
 def walls(spark, sf):
-    return B.hits(spark, sf).filter("event_type = 'wall'").select("run_id", "frame", "t", "event_id")
+    return B.hits(spark, sf).filter(C.front_wall(F.col("event_type"))).select("run_id", "frame", "t", "event_id")
 
 
 def peaks(spark, sf, kind="floor"):

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions import columns as C
 from ..operators import sessions as S
 from . import bindings as B
 
 
 def front(spark: SparkSession, sf: str) -> DataFrame:
-    return B.hits(spark, sf).filter("event_type IS NULL OR event_type = 'wall'")
+    return B.hits(spark, sf).filter(C.front_wall(F.col("event_type")))
 
 
 def rally_hits(spark: SparkSession, sf: str) -> DataFrame:

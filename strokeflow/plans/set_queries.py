@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions import columns as C
 from ..operators import sets as S
 from . import bindings as B
 
@@ -27,7 +28,7 @@ def h03(spark, sf):
       SELECT run_id, advice, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority DESC, o) AS rank FROM r) WHERE rank <= 2""",
 )
 def h05(spark, sf):
-    m = B.hits(spark, sf).filter("event_type = 'wall'").groupBy("run_id").agg(
+    m = B.hits(spark, sf).filter(C.front_wall(F.col("event_type"))).groupBy("run_id").agg(
         F.count("*").alias("n"), F.avg("y").alias("h"), F.avg(F.col("x").between(0.21, 0.79).cast("int")).alias("c"), F.max("speed_before").alias("s")
     )
     rule = lambda cond, text, p, o: F.when((F.col("n") >= 6) & F.expr(cond), F.struct(F.lit(text).alias("advice"), F.lit(p).alias("priority"), F.lit(o).alias("o")))
@@ -52,7 +53,7 @@ def i02(spark, sf):
 @register("i03_set_difference", "SELECT run_id, frame FROM hits EXCEPT SELECT run_id, frame FROM front")
 def i03(spark, sf):
     h = B.hits(spark, sf)
-    return h.select("run_id", "frame").subtract(h.filter("event_type = 'wall'").select("run_id", "frame"))
+    return h.select("run_id", "frame").subtract(h.filter(C.front_wall(F.col("event_type"))).select("run_id", "frame"))
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions import columns as C
 from ..operators import sessions as S
 from ..operators import trajectory as T
 from . import bindings as B
@@ -145,4 +146,4 @@ def f19(spark, sf):
 
 @register("f21_event_gaps", "SELECT run_id, frame, round(t - lag(t) OVER w, 6) AS gap_prev, round(lead(t) OVER w - t, 6) AS gap_next FROM front WINDOW w AS (PARTITION BY run_id ORDER BY frame)")
 def f21(spark, sf):
-    return rounded(T.event_gaps(B.hits(spark, sf).filter("event_type = 'wall'").select("run_id", "frame", "t")), "gap_prev", "gap_next", digits=6).drop("t")
+    return rounded(T.event_gaps(B.hits(spark, sf).filter(C.front_wall(F.col("event_type"))).select("run_id", "frame", "t")), "gap_prev", "gap_next", digits=6).drop("t")
