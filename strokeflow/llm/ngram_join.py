@@ -38,7 +38,7 @@ COMMON = 16
 MAX_COMMON = 1_000_000
 #: Counting n-grams: bits that tell them apart, n-grams that a task gathers before it deals them out, n-grams that a part should hold.
 COUNTED_BITS = 40
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 PART = 1 << 18
 #: Bits of the filter that keeps sets without a candidate at home.
 FILTER_BITS = 1 << 26
@@ -519,7 +519,7 @@ def _link_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     written, sets, classes, blocks = _prepared(docs, k, num, den)
     large = _large(blocks)
     pairs = _small(blocks).union(_leaders(large.withColumn("label", F.col("set_id")), 0, 1, num, den)).distinct()
-    links = materialize(docs.sparkSession.createDataFrame([], "u long, v long"), "join-links")
+    links = docs.sparkSession.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
     labels, low, high = links.select(F.col("u").alias("node"), F.col("v").alias("label")), 0, 1
     while True:
         pairs = materialize(_possible(pairs, classes, num, den), "join-pairs")

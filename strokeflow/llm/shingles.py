@@ -16,7 +16,8 @@ import pyarrow as pa
 
 from .textarrays import U, mix, powers
 
-CHUNK = 1 << 19
+#: Bytes of text that are worked on at a time.
+CHUNK = 1 << 18
 
 
 @cache

@@ -31,7 +31,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 21
+    size = 1 << 18
     while size < n:
         size *= 2
     return tuple(x[:n] for x in _powers(size))
