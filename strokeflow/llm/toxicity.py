@@ -98,10 +98,12 @@ def _fit(x: np.ndarray, labels: np.ndarray, odds: np.ndarray, steps: int, rate:
     return fold, float(params[2][1] - params[2][0] - mean @ fold)
 
 
-def _least_z(x: np.ndarray, labels: np.ndarray, options: tuple[float, ...], folds: int, **fit) -> float:
+def _least_z(x: np.ndarray, labels: np.ndarray, options: tuple[float, ...], folds: int, false_cost: float, **fit) -> float:
     """The one of ``options`` with the least error over ``folds`` parts of the sample, each judged by a model of the others; the largest of equals.
 
-    Both classes weigh the same, or no model at all would do best where one class is rare.
+    The error is the share of texts of class 1 that are missed, plus
+    ``false_cost`` times the share of class 0 that is taken for class 1: if
+    texts weighed the same, no model at all would do best where one class is rare.
     """
     if len(options) == 1:
         return options[0]
@@ -120,13 +122,13 @@ def _least_z(x: np.ndarray, labels: np.ndarray, options: tuple[float, ...], fold
             at = np.flatnonzero(z >= least)
             weight, bias = _fit(x[np.ix_(rest, at)], labels[rest], odds[at], **fit)
             wrong = (x[np.ix_(own, at)] @ weight + bias >= 0) != (labels[own] == 1)
-            loss[i] += (wrong / np.bincount(labels, minlength=2)[labels[own]]).sum()
+            loss[i] += (wrong * np.where(labels[own] == 1, 1.0, false_cost) / np.bincount(labels, minlength=2)[labels[own]]).sum()
     return max(o for o, l in zip(options, loss) if l <= loss.min() * (1 + 1e-9))
 
 
 def train(
     texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.01, decay: float = 1e-2, seed: int = 7,
-    known: int = 4096, least_z: tuple[float, ...] = (5.0, 4.0, 3.0, 2.0), folds: int = 5,
+    known: int = 4096, least_z: tuple[float, ...] = (5.0, 4.0, 3.0, 2.0), folds: int = 5, false_cost: float = 2.0,
 ) -> tuple[np.ndarray, float]:
     """The folded weight of each bucket and the bias, from labelled texts (labels 0 and 1).
 
@@ -134,7 +136,8 @@ def train(
     vector, the ``known`` most telling ones at most, so the design matrix is at
     most sample rows times ``known`` numbers. How large z has to be is the one
     of ``least_z`` that cross-validation in ``folds`` parts prefers: many labels
-    can afford a strict choice, few labels need a lenient one.
+    can afford a strict choice, few labels need a lenient one. A harmless text
+    taken for toxic counts ``false_cost`` times as much as a toxic one missed.
     """
     if len(texts) == 0 or labels.min() == labels.max():
         prior = float(labels.mean()) if len(labels) else 0.0
@@ -156,7 +159,7 @@ def train(
         for row, (idx, val) in zip(range(part.start, part.stop), bags(texts[part])):
             at = place[idx]
             x[row, at[at >= 0]] = val[at >= 0]
-    least = _least_z(x, labels, least_z, folds, steps=steps // 2, rate=rate, decay=decay, seed=seed)
+    least = _least_z(x, labels, least_z, folds, false_cost, steps=steps // 2, rate=rate, decay=decay, seed=seed)
     some = z[telling] >= least
     weight = np.zeros(BUCKETS)
     weight[telling[some]], bias = _fit(x[:, some], labels, odds[telling[some]], steps, rate, decay, seed)
