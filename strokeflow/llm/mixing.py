@@ -149,7 +149,7 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
     sizes = rows.select("row.doc_id", "row.source", word_count(F.col("row.text")).alias("size"), "uid")
     mixed = _mixed(sizes, weights, max_repeats, seed).filter("copies > 0 AND size > 0").select("uid", "copies")
-    joined = rows.join(mixed, "uid")
+    joined = rows.join(mixed.hint("shuffle_hash"), "uid")  # never a broadcast: ``mixed`` grows with the documents
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
