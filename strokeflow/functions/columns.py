@@ -50,6 +50,12 @@ def mph(ftps: Column) -> Column:
     return ftps * FTPS_TO_MPH
 
 
+def round_even(value: Column, places: int) -> Column:
+    """``value`` rounded half to even after scaling in binary, as DuckDB does (bround() goes by the decimal digits, which tie where the scaled double does not)."""
+    scaled = value * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.rint(scaled) / 10.0**places).otherwise(value)
+
+
 def scale_frames(frames: int, fps: Column, minimum: int = 1) -> Column:
     """A frame count tuned at 60 fps, at another rate."""
     return F.greatest(F.lit(minimum), F.bround(frames * fps / 60).cast("int"))

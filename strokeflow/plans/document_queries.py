@@ -247,7 +247,9 @@ def c20(spark, sf):
 
 @register("b02_hit_lines", "SELECT run_id, frame, printf('%d,%.6f,%.3f,%s', frame, round_even(t, 6), round_even(y, 3), coalesce(event_type, '')) AS line FROM hits")
 def b02(spark, sf):
-    return hits(spark, sf).select("run_id", "frame", F.format_string("%d,%.6f,%.3f,%s", "frame", F.bround("t", 6), F.bround("y", 3), F.coalesce("event_type", F.lit(""))).alias("line"))
+    t, y = C.round_even(F.col("t"), 6), C.round_even(F.col("y"), 3)
+    line = F.format_string("%d,%.6f,%.3f,%s", "frame", t, y, F.coalesce("event_type", F.lit("")))
+    return hits(spark, sf).select("run_id", "frame", F.when(t.isNotNull() & y.isNotNull(), line).alias("line"))
 
 
 @register(

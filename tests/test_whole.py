@@ -143,3 +143,16 @@ def test_readme_names_every_operator_without_a_query():
     listed = (top / "README.md").read_text().split("- Named in the code", 1)[-1].split("A name says", 1)[0]
     named = {f"{m[1]}{n:02d}" for m in re.finditer(r"([A-L])(\d\d)(?: to [A-L](\d\d))?", listed) for n in range(int(m[2]), int(m[3] or m[2]) + 1)}
     assert named == survey - queries
+
+
+def test_hit_lines_round_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    ids = ", ".join(f"({i}, {v})" for i, v in enumerate([*(x / 100 for x in range(25, 40000, 50)), "NULL"]))
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 1800) AS ts, (i % 3)::BIGINT AS user_id, CASE WHEN i % 4 > 0 THEN 'view' END AS event_type, v::DOUBLE AS value, '{{"k": 7}}' AS props
+      FROM (VALUES {ids}) AS x(i, v)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(catalog.ORACLES["b02_hit_lines"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["b02_hit_lines"](spark, str(tmp_path)).collect()]
+    assert len(got) == 801 and set(got) == set(want)
