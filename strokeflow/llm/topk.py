@@ -1,13 +1,14 @@
-"""Exact top-k search: BM25 over an inverted index, with block-max WAND pruning per shard and an exact merge.
+"""Exact top-k search: BM25 over an inverted index, with scores known beforehand to be reached, and an exact merge.
 
 Queries are taken in blocks of bounded size. For a block, one pass over the
-documents counts how many hold each query term; a second pass builds, shard by
-shard, an inverted index whose postings are cut into blocks of documents with
-the largest impact of each (the longest lists, which are in every block, as a
-matrix with their impacts themselves). A query's upper bound for a block of
-documents is the sum of those; blocks are scored from the highest bound down, and are passed
-over once the bound is below the k-th best score. Scores use global statistics,
-so the best of the shards' lists are the best of all.
+documents counts how many hold each query term. A second looks at a part of the
+documents only: the k-th best score there is one that a query's k-th best of
+all documents cannot fall below. The third takes all documents, shard by shard.
+A shard has an inverted index whose longest lists are kept as a matrix. A
+product with it and the other lists give a batch of queries' scores of all the
+shard's documents in single precision; documents that may reach the known score
+are scored again in double precision. Scores use global statistics, so the best
+of the shards' lists are the best of all.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,96 +27,104 @@ from .storage import materialize, table
 from .textarrays import U
 
 K1, B = 1.2, 0.75
-#: Documents whose impacts share a bound, documents and postings of a shard at most, decimals of a score.
-BLOCK = 32
+#: Documents and postings of a shard at most, decimals of a score.
 SHARD_DOCS = 16_384
 SHARD_POSTINGS = 4_000_000
 DECIMALS = 6
-#: Lists of a shard that are kept as a matrix, and queries that are multiplied with it at a time.
-DENSE = 512
-BATCH = 128
+#: Lists of a shard that are kept as a matrix, queries that are multiplied with it at a time, postings that are summed at a time.
+DENSE = 1024
+BATCH = 256
+SUMMED = 1 << 16
+#: What scores in single precision may be off by, as a share of them: all impacts are positive, so errors do not cancel a score out.
+SINGLE = 2e-4
+#: Documents that are looked at first, and their share of all at most.
+FIRST_DOCS = 131_072
+FIRST_SHARE = 1 / 8
 #: Distinct terms of a block of queries, all queries together.
-QUERY_TERMS = 2_000_000
+QUERY_TERMS = 4_000_000
+
+
+def _gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... (``size`` of them) of all spans, end to end."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 class Index:
     """The inverted index of one shard. Terms are numbers in a block of queries' vocabulary.
 
-    The DENSE terms with the longest lists lie in every block of documents, so
-    their postings are kept as a matrix: a product gives their part of a whole
-    batch of queries' scores. The other lists have entries, a term in a block
-    of documents, with the largest impact there. A block's bound for a query is
-    the largest matrix part in it plus the sum of its entries' bounds.
+    Postings are kept by document, with impacts in double precision, and by
+    term, in single precision; those of the DENSE terms with the longest lists
+    as a matrix.
     """
 
     def __init__(self, ids: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
-        self.ids, self.blocks = ids, -(-len(ids) // BLOCK)
+        if (doc[1:] < doc[:-1]).any():
+            by_doc = np.argsort(doc, kind="stable")
+            term, doc, tf = term[by_doc], doc[by_doc], tf[by_doc]
+        self.ids, self.term = ids, term
         norm = K1 * (1 - B + B * length / mean)
-        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        df = np.bincount(term, minlength=len(idf))
+        self.exact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        self.first = np.searchsorted(doc, np.arange(len(ids) + 1))
+        self.weight = np.zeros(len(idf))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.impact = doc[order].astype(np.int32), self.exact[order].astype(np.float32)
+        self.border = np.append(0, np.cumsum(np.bincount(term, minlength=len(idf))))
+        df = np.diff(self.border)
         dense = np.sort(np.argsort(-df, kind="stable")[:DENSE])
-        self.column = np.full(len(idf), -1)
+        self.column = np.full(len(idf), -1, np.int32)
         self.column[dense] = np.arange(len(dense))
-        self.exact = np.zeros((self.blocks * BLOCK, len(dense)))
-        at = self.column[term]
+        self.matrix = np.zeros((len(dense), len(ids)), np.float32)
+        i = _gathered(self.border[dense], df[dense])
+        self.matrix[np.repeat(np.arange(len(dense)), df[dense]), self.doc[i]] = self.impact[i]
+
+    def _scores(self, of: np.ndarray, terms: np.ndarray, weight: np.ndarray, queries: int) -> np.ndarray:
+        """Scores of all documents, in single precision, for ``queries`` queries: ``of`` is the query of each term and weight, in order."""
+        n, at = len(self.ids), self.column[terms]
         m = at >= 0
-        self.exact[doc[m], at[m]] = impact[m]
-        self.matrix = self.exact.astype(np.float32)
-        term, doc, impact = term[~m], doc[~m], impact[~m]
-        order = np.lexsort((doc, term))
-        term, self.doc, self.impact = term[order], doc[order], impact[order]
-        key = term.astype(np.int64) * self.blocks + self.doc // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.block = (key[first] % max(1, self.blocks)).astype(np.int32)
-        self.first = np.append(first, len(key))
-        self.bound = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(key[first] // max(1, self.blocks), np.arange(len(idf) + 1))
-
-    def batch(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places and scores of the best ``k`` documents of each query (terms, weights), by rounded score and then id; documents without a term never show."""
-        weights = np.zeros((len(queries), self.matrix.shape[1]))
-        for row, (terms, weight) in zip(weights, queries):
-            at = self.column[terms]
-            row[at[at >= 0]] = weight[at >= 0]
-        parts = weights.astype(np.float32) @ self.matrix.T
-        for (terms, weight), dense, part in zip(queries, weights, parts):
-            sparse = self.column[terms] < 0
-            yield self._search(terms[sparse], weight[sparse], dense, part, k)
-
-    def _search(self, terms: np.ndarray, weight: np.ndarray, dense: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        begin, size = self.entries[terms], self.entries[terms + 1] - self.entries[terms]
-        entry = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        w, block = np.repeat(weight, size), self.block[entry]
-        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(block, w * self.bound[entry], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        # The product is in single precision: what it may be off by, and half a rounding step.
-        slack = 1e-4 * (bound.max() if len(bound) else 0.0) + 10.0**-DECIMALS
-        places, scores, rest = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        at, step, least = 0, 4, -np.inf
-        while at < len(order):
-            some = order[at : at + step]
-            some = some[bound[some] + slack >= least]
-            if not len(some):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[some] = True
-            m = chosen[block]
-            e, we = entry[m], w[m]
-            n = self.first[e + 1] - self.first[e]
-            p = np.arange(n.sum()) + np.repeat(self.first[e] - (np.cumsum(n) - n), n)
-            tail = np.bincount(self.doc[p], np.repeat(we, n) * self.impact[p], len(part))
-            total = np.where(np.repeat(chosen, BLOCK), part + tail, 0.0)
-            got = np.flatnonzero((total > 0) & (total + 2 * slack >= least))
-            places, scores, rest = (np.concatenate(x) for x in ((places, got), (scores, total[got]), (rest, tail[got])))
-            if len(scores) > k:
-                least = np.partition(scores, -k)[-k]
-                keep = scores + 2 * slack >= least
-                places, scores, rest = places[keep], scores[keep], rest[keep]
-            at, step = at + step, step * 16
-        exact = np.round(self.exact[places] @ dense + rest, DECIMALS)
-        best = np.lexsort((self.ids[places], -exact))[:k]
-        return places[best], exact[best]
+        weights = np.zeros((queries, len(self.matrix)), np.float32)
+        weights[of[m], at[m]] = weight[m]
+        out = weights @ self.matrix
+        of, terms, weight = of[~m], terms[~m], weight[~m].astype(np.float32)
+        begin, size = self.border[terms], self.border[terms + 1] - self.border[terms]
+        # As many whole queries at a time as have about SUMMED postings.
+        start = np.searchsorted(of, np.arange(queries + 1))
+        upto = np.append(0, np.cumsum(size))[start]
+        q = 0
+        while q < queries:
+            end = max(q + 1, int(np.searchsorted(upto, upto[q] + SUMMED, "right")) - 1)
+            i, j = start[q], start[end]
+            p = _gathered(begin[i:j], size[i:j])
+            key = np.repeat((of[i:j] - q) * n, size[i:j]) + self.doc[p]
+            part = np.bincount(key, np.repeat(weight[i:j], size[i:j]) * self.impact[p], (end - q) * n)
+            out[q:end] += part.reshape(end - q, n)
+            q = end
+        return out
+
+    def batch(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and scores of the best ``k`` documents of each query (terms, weights), by rounded score and then id; documents without a term never show, and below ``least`` may be missing."""
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms, weight = (np.concatenate([q[i] for q in queries]) for i in range(2))
+        low = np.zeros(len(queries)) if least is None else least * (1 - SINGLE) - 2 * 10.0**-DECIMALS
+        scores = self._scores(of, terms, weight, len(queries))
+        q, places = np.nonzero((scores > 0) & (scores >= low[:, None].astype(np.float32)))
+        scores, border = scores[q, places], np.searchsorted(q, np.arange(len(queries) + 1))
+        for (terms, weight), i, j in zip(queries, border[:-1], border[1:]):
+            some = places[i:j]
+            if len(some) > k:
+                some = some[scores[i:j] >= np.partition(scores[i:j], -k)[-k] * (1 - 2 * SINGLE) - 2 * 10.0**-DECIMALS]
+            exact = self._rescored(terms, weight, some)
+            best = np.lexsort((self.ids[some], -exact))[:k]
+            yield some[best], exact[best]
+
+    def _rescored(self, terms: np.ndarray, weight: np.ndarray, places: np.ndarray) -> np.ndarray:
+        if not len(places):
+            return np.zeros(0)
+        self.weight[terms] = weight
+        size = self.first[places + 1] - self.first[places]
+        p = _gathered(self.first[places], size)
+        total = np.bincount(np.repeat(np.arange(len(places)), size), self.weight[self.term[p]] * self.exact[p], len(places))
+        self.weight[terms] = 0
+        return np.round(total, DECIMALS)
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -162,7 +172,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
 
 
 def _search_block(docs: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
-    """(query, query_id, doc_id, score): each shard's best ``k`` of a block of queries."""
+    """(query, query_id, doc_id, score): each shard's best ``k`` of a block of queries, without some that are not among the best of all."""
     hashes = [np.frombuffer(x, U) for x in queries.terms]
     counts = [np.frombuffer(x, np.int32) for x in queries.counts]
     border = np.append(0, np.cumsum([len(x) for x in hashes])).astype(np.int64)
@@ -171,10 +181,24 @@ def _search_block(docs: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     ids = queries.query_id.to_numpy(np.int64)
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, number.astype(np.int32), np.concatenate([*counts, np.zeros(0, np.int32)]), border, ids, idf))
+    docs = docs.filter("doc_id IS NOT NULL")
+    # Documents for a first look, by hash: whatever they are, their k-th best score is a bound.
+    share = min(FIRST_SHARE, FIRST_DOCS / max(n, 1))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).repartition(int(share * n * 2 // SHARD_DOCS) + 1)
+    known = _ranked(_search_shards(some, held, mean, k, None), k).filter(F.col("rank") == k).select("query", "score").toPandas()  # a row per query
+    least = np.zeros(len(ids))
+    least[known["query"]] = known["score"]
+    return _search_shards(docs, held, mean, k, least)
+
+
+def _search_shards(docs: DataFrame, held: Broadcast, mean: float, k: int, least: np.ndarray | None) -> DataFrame:
+    """(query, query_id, doc_id, score): each shard's best ``k``, or those of them that reach ``least``."""
+    bound = docs.sparkSession.sparkContext.broadcast(least)
     schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, number, qtf, border, ids, idf = held.value
+        least = bound.value
         parts: list[tuple] = []
         docs = postings = 0
 
@@ -188,7 +212,7 @@ def _search_block(docs: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
             for first in range(0, len(ids), BATCH):
                 some = range(first, min(first + BATCH, len(ids)))
                 vectors = [(number[border[q] : border[q + 1]], qtf[border[q] : border[q + 1]]) for q in some]
-                for q, (places, scores) in zip(some, index.batch(vectors, k)):
+                for q, (places, scores) in zip(some, index.batch(vectors, k, None if least is None else least[some.start : some.stop])):
                     if len(places):
                         out.append((np.full(len(places), q), np.full(len(places), ids[q]), index.ids[places], scores))
             if out:
@@ -208,7 +232,12 @@ def _search_block(docs: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
         if parts:
             yield from shard()
 
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(search, "query long, query_id long, doc_id long, score double")
+    return docs.mapInArrow(search, "query long, query_id long, doc_id long, score double")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
+    return hits.withColumn("rank", best).filter(F.col("rank") <= k)
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -233,8 +262,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         # Dealt by hash, a block holds about QUERY_TERMS terms: that bounds what is collected and broadcast.
         block = vectors.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
         hits = _search_block(docs, block.sort_values(["query_id", "terms"], ignore_index=True), k)
-        best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
-        found.append(materialize(hits.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "topk-hits"))
+        found.append(materialize(_ranked(hits, k).select("query_id", "rank", "doc_id", "score"), "topk-hits"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

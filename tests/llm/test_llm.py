@@ -99,6 +99,25 @@ def test_block_bounds_prune(dense, monkeypatch):
         assert list(places) == order and np.allclose(scores, want[order])
 
 
+def test_topk_known_scores_pass_documents_over():
+    rng = np.random.default_rng(2)
+    n, terms = 4000, 3000
+    pair = np.unique(np.stack([rng.integers(0, n, 90_000), (rng.random(90_000) ** 3 * terms).astype(int)]), axis=1)
+    pair = np.concatenate([pair, np.stack([pair[0, pair[0] < 30] + n, pair[1, pair[0] < 30]])], axis=1)  # copies: ties at the known score
+    length = np.tile(rng.integers(20, 60, n).astype(float), 2)[: n + 30]
+    index = topk.Index(np.arange(n + 30), pair[1], pair[0], np.ones(pair.shape[1], int), length, rng.random(terms) * 5, 40.0)
+    queries = [(pair[1, pair[0] == d], np.ones((pair[0] == d).sum(), int)) for d in range(300)]
+    whole = list(index.batch(queries, 10))
+    known = np.array([s[-1] for _, s in whole])
+    for (a, x), (b, y) in zip(whole, index.batch(queries, 10, known)):
+        assert list(a) == list(b) and list(x) == list(y)
+    # Scores that only the first place reaches leave little to be scored again.
+    scored, again = [], index._rescored
+    index._rescored = lambda t, w, p: scored.append(len(p)) or again(t, w, p)
+    assert [p[0] for p, _ in index.batch(queries, 10, np.array([s[0] for _, s in whole]))] == [p[0] for p, _ in whole]
+    assert np.mean(scored) < 2
+
+
 # 2
 
 
