@@ -47,15 +47,18 @@ def discard(*written: DataFrame) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs inside hands at most so many rows at a time to Python: wide rows make large batches, in the JVM as in the worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int = 1 << 20) -> Iterator[None]:
+    """What runs inside hands at most so many rows, and about ``size`` bytes, at a time to Python: wide rows make large batches, in the JVM as in the worker."""
+    key = "spark.sql.execution.arrow."
+    wanted = {f"{key}maxRecordsPerBatch": str(rows), f"{key}maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

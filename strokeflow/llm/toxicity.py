@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 #: Training texts whose bags are held at a time.
 SLICE = 128
+#: Texts of a batch that are scored at a time.
+SCORED = 512
 DIM = 8
 
 
@@ -177,6 +179,12 @@ def score_texts(texts: list[str | None], weight: np.ndarray, bias: float) -> np.
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -30, 30)))
 
 
+def score_batch(texts: pa.Array, weight: np.ndarray, bias: float) -> pa.Array:
+    """The score of each of ``texts``, of which SCORED at a time are Python strings."""
+    parts = [score_texts(texts.slice(i, SCORED).to_pylist(), weight, bias) for i in range(0, len(texts), SCORED)]
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
     """About ``max_rows`` labelled texts of at most ``max_bytes``, chosen by hashes; what reaches the driver is bounded by both.
 
@@ -213,11 +221,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max
     weight, bias = train(*training_sample(docs, labels, max_rows, max_bytes), **training)
     held = docs.sparkSession.sparkContext.broadcast((weight.astype(np.float32), bias))  # BUCKETS numbers
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weight, bias = held.value
         for texts in batches:
-            yield pd.Series(score_texts(list(texts), weight, bias))
+            yield score_batch(texts, weight, bias)
 
     return docs.withColumn(column, score(F.col("text").cast("string")))
 

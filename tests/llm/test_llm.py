@@ -10,10 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strokeflow.llm import chat, html_extract, language_id, mixing, ngram_join, packing, quality, sharding, topk, toxicity
+from strokeflow.llm import chat, html_extract, language_id, mixing, ngram_join, packing, quality, sharding, storage, topk, toxicity
 
 from .brute import jaccard_components
 
@@ -423,6 +424,18 @@ def test_gram_counts_are_exact(spark, monkeypatch):
     assert {r.gram: r.n for r in ngram_join._gram_counts(sets, 3).collect()} == {g: n for g, n in want.items() if n >= 3}
 
 
+def test_join_hands_wide_rows_to_python_a_few_at_a_time(spark):
+    wide = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("x"), 200_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    with storage.batches_of(spark, ngram_join.BATCH):
+        found = wide.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 60 and max(r["size"] for r in found) < 2_000_000
+
+
 def test_join_edge_cases(spark, odd, none, monkeypatch):
     assert ngram_join.link(none).count() == 0 and ngram_join.keep_first(none).count() == 0
     got = ngram_join.link(odd).collect()
@@ -602,6 +615,16 @@ def test_toxicity_score_is_the_mean_of_its_words():
     assert 0 < got[5] < 1
 
 
+def test_toxicity_scores_a_batch_in_slices(monkeypatch):
+    weight = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS)
+    texts = [None, "", *(prose(1 + i % 40, i) for i in range(1200)), prose(30_000, 2)]
+    whole, given, score = toxicity.score_texts(texts, weight, 0.5), [], toxicity.score_texts
+    monkeypatch.setattr(toxicity, "score_texts", lambda t, *model: given.append(len(t)) or score(t, *model))
+    assert toxicity.score_batch(pa.array(texts), weight, 0.5).to_pylist() == whole.tolist()
+    assert sum(given) == len(texts) and max(given) <= 512
+    assert len(toxicity.score_batch(pa.array([], pa.string()), weight, 0.5)) == 0
+
+
 def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     got = [r for r in toxicity.op9_toxicity(spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
