@@ -11,10 +11,14 @@ left is multiplied out: the row of one class times the rows of all classes that
 it meets, accumulating overlap counts over all columns. (Which n-grams count as
 common affects speed alone: any order gives the same links.)
 
-Within a large block not all pairs are looked at, where only components are
-asked for: a few leaders, the members with the fewest rare n-grams, are
-compared with the rest, and only members that are still in different components
-meet further leaders, in rounds with eight times as many, until none are left.
+Near copies meet in as many large blocks as they share n-grams, so large blocks
+with the same first member are bundled: a bundle has a row per class, with a
+bit for each of its blocks, and a pair is looked at once in a bundle, at the
+first block that it shares. Within a bundle not all pairs are looked at, where
+only components are asked for: a few leaders, the members that are in most of
+its blocks, are compared with the rest, and only members that are still in
+different components meet further leaders, in rounds with eight times as many,
+until none are left.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -33,6 +37,8 @@ from .textarrays import U, mix
 
 #: Blocks of up to so many classes are multiplied out at once.
 SMALL = 8
+#: Blocks of a bundle at most: bits of a long without its sign.
+BUNDLED = 63
 #: N-grams in at least this many classes come last in the order, the commonest MAX_COMMON of them (a bound on what is broadcast: 12 bytes each).
 COMMON = 16
 MAX_COMMON = 1_000_000
@@ -445,14 +451,15 @@ def _rekeyed(sets: DataFrame) -> DataFrame:
     return sets.withColumn("set_id", F.when(F.col("set_id").isin([r[0] for r in shared]), F.col("check")).otherwise(F.col("set_id")))
 
 
-def _prepared(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The written sets, the same ready for use, classes of equal sets, and the blocks of the incidence matrix."""
+def _prepared(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The written sets, the same ready for use, classes of equal sets, pairs of small blocks, and bundles of large ones."""
     written = materialize(_describe(docs, k), "join-sets")
     sets = _rekeyed(written)
     classes = sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = materialize(classes, "join-classes")
     blocks = materialize(_blocks(_first_grams(sets, num, den, _common(sets)), num, den), "join-blocks")
-    return written, sets, classes, blocks
+    bundles = materialize(_bundles(_large(blocks)), "join-bundles")
+    return written, sets, classes, blocks, bundles
 
 
 def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -488,16 +495,15 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[D
 
 
 def _link_pairs(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    written, sets, classes, blocks = _prepared(docs, k, num, den)
-    large = _large(blocks)
-    pairs = _small(blocks).union(_met(large, large, num, den)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    written, sets, classes, blocks, bundles = _prepared(docs, k, num, den)
+    pairs = _small(blocks).union(_met(bundles, bundles, num, den)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = materialize(_possible(pairs, classes, num, den), "join-pairs")
     found = materialize(_verify(sets, pairs, num, den), "join-links")
     degree = found.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("key"))
     members = rows.join(degree, "key", "left").select(F.col("key").alias("set_id"), "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     members = materialize(members, "join-members")
-    discard(written, classes, blocks)
+    discard(written, classes, blocks, bundles)
     return members, found
 
 
@@ -516,8 +522,8 @@ def _linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def _link_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """n, label, component and whatever names a row (doc_id; text_id if ``docs`` have one) for every row; rows of one component, and no others, share a ``label``."""
-    written, sets, classes, blocks = _prepared(docs, k, num, den)
-    large = _large(blocks)
+    written, sets, classes, blocks, bundles = _prepared(docs, k, num, den)
+    large = bundles
     pairs = _small(blocks).union(_leaders(large.withColumn("label", F.col("set_id")), 0, 1, num, den)).distinct()
     links = docs.sparkSession.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
     labels, low, high = links.select(F.col("u").alias("node"), F.col("v").alias("label")), 0, 1
@@ -531,8 +537,8 @@ def _link_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             labels = materialize(near.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "join-labels")
         low, high = high, high + 8 ** (1 + _log8(high))
         named = large.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        ends = named.filter(F.col("rank") >= low).groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("gram")
-        alive = materialize(named.join(ends, "gram", "left_semi"), "join-large")
+        ends = named.filter(F.col("rank") >= low).groupBy("lead", "part").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+        alive = materialize(named.join(ends.select("lead", "part"), ["lead", "part"], "left_semi"), "join-large")
         if alive.limit(1).count() == 0:
             break
         pairs = _leaders(alive, low, high, num, den).distinct()
@@ -544,7 +550,7 @@ def _link_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     named = [c for c in ("doc_id", "text_id") if c in sets.columns]
     out = sets.select(*named, "n", F.when(F.col("n") > 0, F.col("set_id")).alias("key")).join(by_set, "key", "left").drop("key")
     out = materialize(out, "join-rows")
-    discard(written, classes, blocks)
+    discard(written, classes, blocks, bundles)
     return out
 
 
@@ -552,18 +558,40 @@ def _log8(x: int) -> int:
     return (x.bit_length() - 1) // 3
 
 
+def _bundles(large: DataFrame) -> DataFrame:
+    """Large blocks by their first member ``lead``, BUNDLED of them a ``part``: a row per set with its ``blocks`` as bits, its place ``pos`` in each, and its rank.
+
+    A lead's places number its blocks, so their bits follow the global order.
+    """
+    number = F.row_number().over(Window.partitionBy("lead").orderBy("at")) - 1
+    first = large.filter("rank = 0").select("gram", F.col("set_id").alias("lead"), F.col("pos").alias("at")).withColumn("number", number)
+    first = first.select("gram", "lead", F.floor(F.col("number") / BUNDLED).cast("int").alias("part"), (F.col("number") % BUNDLED).cast("int").alias("bit"))
+    rows = large.join(first, "gram").groupBy("lead", "part", "set_id").agg(
+        F.first("n").alias("n"), F.expr("bit_or(shiftleft(1L, bit))").alias("blocks"), F.array_sort(F.collect_list(F.struct("bit", "pos")))["pos"].alias("pos"),
+        F.sum("pos").alias("places"),
+    )
+    rank = F.row_number().over(Window.partitionBy("lead", "part").orderBy(F.bit_count("blocks").desc(), "places", "set_id")) - 1
+    return rows.select("lead", "part", "set_id", "n", "blocks", "pos", rank.cast("long").alias("rank"))
+
+
 def _met(lead: DataFrame, rest: DataFrame, num: int, den: int, also: Column | None = None) -> DataFrame:
-    """Pairs (u of ``lead``, v of ``rest``, of a later rank) that share a block whose places in both orders allow a link."""
-    lead = lead.select("gram", *[F.col(c).alias("u" + c[0]) for c in lead.columns if c != "gram"])
-    rest = rest.select("gram", *[F.col(c).alias("v" + c[0]) for c in rest.columns if c != "gram"])
-    most = F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp")).cast("long")
-    near = most * (num + den) >= (F.col("un") + F.col("vn")).cast("long") * num
-    met = rest.join(lead, "gram").filter((F.col("vr") > F.col("ur")) & near)
+    """Pairs (u of ``lead``, v of ``rest``, of a later rank) that share a block of a bundle whose places in both orders allow a link.
+
+    Places in the first shared block allow most; in the others they are no smaller.
+    """
+    keys = ["lead", "part"]
+    lead = lead.select(*keys, *[F.col(c).alias("u" + c[0]) for c in lead.columns if c not in keys])
+    rest = rest.select(*keys, *[F.col(c).alias("v" + c[0]) for c in rest.columns if c not in keys])
+    shared = F.col("ub").bitwiseAND(F.col("vb"))
+    below = shared.bitwiseAND(-shared) - 1  # the bits before the first shared one
+    left = lambda x: F.col(f"{x}n") - F.get(F.col(f"{x}p"), F.bit_count(F.col(f"{x}b").bitwiseAND(below)))
+    near = F.least(left("u"), left("v")).cast("long") * (num + den) >= (F.col("un") + F.col("vn")).cast("long") * num
+    met = rest.join(lead, keys).filter((F.col("vr") > F.col("ur")) & (shared != 0) & near)
     return (met if also is None else met.filter(also)).select(F.col("us").alias("u"), F.col("vs").alias("v"))
 
 
 def _leaders(large: DataFrame, low: int, high: int, num: int, den: int) -> DataFrame:
-    """Pairs of the members with ranks ``low`` to ``high`` and all later members of their blocks, where bounds allow a link and labels differ."""
+    """Pairs of the members with ranks ``low`` to ``high`` and all later members of their bundles, where bounds allow a link and labels differ."""
     return _met(large.filter((F.col("rank") >= low) & (F.col("rank") < high)), large, num, den, F.col("ul") != F.col("vl"))
 
 

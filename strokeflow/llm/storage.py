@@ -28,11 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage.
+
+    Spark deletes broadcasts and shuffle files that nothing refers to only
+    then, and the heap, which many small plans fill up to its limit, shrinks.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the DataFrame that rereads it."""
+    """Write ``df`` once and return the DataFrame that rereads it; what the plans before it held is released."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -185,11 +185,8 @@ def score_batch(texts: pa.Array, weight: np.ndarray, bias: float) -> pa.Array:
     return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
-    """About ``max_rows`` labelled texts of at most ``max_bytes``, chosen by hashes; what reaches the driver is bounded by both.
-
-    Equal texts with the same label are one example, whichever rows hold them.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """About ``max_rows`` labelled texts (text, toxic) of at most ``max_bytes``, chosen by hashes."""
     share = lambda n: int(min(1.0, max_rows / max(1, n)) * (1 << 62))
     below = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 62))
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
@@ -200,10 +197,39 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes
         .select("doc_id", "text", "toxic")
     )
     # A labelled doc_id may have any number of texts.
-    rows = rows.filter(below("doc_id", "text", F.lit(2)) <= share(rows.count())).select("text", "toxic").distinct().toPandas()
-    # Whatever order the rows arrive in, training sees one.
-    order = sorted(range(len(rows)), key=lambda i: (hashlib.md5(rows.text[i].encode()).digest(), rows.toxic[i]))
-    return [rows.text[i] for i in order], rows.toxic.to_numpy(np.int64)[order]
+    return rows.filter(below("doc_id", "text", F.lit(2)) <= share(rows.count())).select("text", "toxic").distinct()
+
+
+def _ordered(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Whatever order the rows arrive in, training sees one."""
+    order = sorted(range(len(texts)), key=lambda i: (hashlib.md5(texts[i].encode()).digest(), toxic[i]))
+    return [texts[i] for i in order], toxic[order]
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
+    """About ``max_rows`` labelled texts of at most ``max_bytes``, chosen by hashes; what reaches the driver is bounded by both.
+
+    Equal texts with the same label are one example, whichever rows hold them.
+    """
+    rows = _sample(docs, labels, max_rows, max_bytes).toPandas()
+    return _ordered(rows.text.tolist(), rows.toxic.to_numpy(np.int64))
+
+
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, **training) -> tuple[np.ndarray, float]:
+    """:func:`train` on the :func:`training_sample`, in one task: texts and design matrix stay away from the driver."""
+    schema = pa.schema([("weight", pa.binary()), ("bias", pa.float64())])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], [np.zeros(0, np.int64)]
+        for batch in batches:
+            texts += batch["text"].to_pylist()
+            toxic.append(batch["toxic"].to_numpy().astype(np.int64))
+        weight, bias = train(*_ordered(texts, np.concatenate(toxic)), **training)
+        yield pa.RecordBatch.from_arrays([pa.array([weight.astype(np.float64).tobytes()], pa.binary()), pa.array([bias], pa.float64())], schema=schema)
+
+    found = _sample(docs, labels, max_rows, max_bytes).coalesce(1).mapInArrow(fit, "weight binary, bias double").collect()
+    # Without rows there may be no task either.
+    return (np.frombuffer(found[0].weight, np.float64), found[0].bias) if found else train([], np.zeros(0, np.int64), **training)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int = 1 << 15, column: str = "score", **training) -> DataFrame:
@@ -218,7 +244,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max
     Equal texts have equal scores. A column of the name ``column`` is replaced,
     all others stay. No rows give no rows.
     """
-    weight, bias = train(*training_sample(docs, labels, max_rows, max_bytes), **training)
+    weight, bias = trained(docs, labels, max_rows, max_bytes, **training)
     held = docs.sparkSession.sparkContext.broadcast((weight.astype(np.float32), bias))  # BUCKETS numbers
 
     @F.arrow_udf("double")

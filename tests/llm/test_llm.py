@@ -436,6 +436,42 @@ def test_join_hands_wide_rows_to_python_a_few_at_a_time(spark):
     assert sum(r.n for r in found) == 60 and max(r["size"] for r in found) < 2_000_000
 
 
+def test_join_looks_at_a_pair_once_and_not_in_each_block(spark, monkeypatch):
+    """60 near copies share hundreds of n-grams, some with a neighbour's words; not all link."""
+    base, rows, made = prose(400, 77).split(), [], []
+    for i in range(60):
+        w = list(base)
+        for j in range(3 + i % 9):
+            w[(37 * i + 41 * j) % 400] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+    plain = ngram_join._leaders
+
+    def counted(*a):
+        found = plain(*a)
+        made.append((found.count(), found.distinct().count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_leaders", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs(spark, rows), 4, 85, 100).collect()}
+    assert got == jaccard_components(dict(rows), 4, 85, 100) and len({c for _, c in got.values()}) > 1
+    assert made[0][1] >= 30 and sum(n for n, _ in made) <= 3 * sum(n for _, n in made)
+
+
+@pytest.mark.parametrize("bundled", [1, 5])
+def test_join_is_exact_with_narrow_bundles(spark, bundled, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUNDLED", bundled)
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    rows = near_copies()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs(spark, rows), 4, 85).collect()} == jaccard_components(dict(rows), 4, 85, 100)
+
+
+def test_written_tables_release_what_the_driver_held(spark):
+    beans = lambda: spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert storage.materialize(spark.range(5), "t").count() == 5 and full() > before
+
+
 def test_join_edge_cases(spark, odd, none, monkeypatch):
     assert ngram_join.link(none).count() == 0 and ngram_join.keep_first(none).count() == 0
     got = ngram_join.link(odd).collect()
@@ -589,6 +625,17 @@ def test_toxicity_learns_from_few_labels(spark, sf, hits, most_false):
     assert bad[toxic].mean() >= hits and bad[~toxic].mean() <= most_false
 
 
+def test_toxicity_is_trained_in_a_task(spark, none, monkeypatch):
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    weight, bias = toxicity.train(*toxicity.training_sample(read("documents"), read("labels"), 5000, 1 << 15))
+    monkeypatch.setattr(type(none), "toPandas", lambda df: pytest.fail("texts reach the driver"))
+    out = toxicity.score_toxicity(read("documents"), read("labels")).select("text", "score").collect()
+    want = toxicity.score_texts([r.text for r in out], weight.astype(np.float32), bias)
+    assert np.allclose([r.score for r in out], want, atol=1e-6) and np.ptp(want) > 0.1
+    # No labels, no sample.
+    assert all(r.score < 0.01 for r in toxicity.score_toxicity(read("documents"), read("labels").filter("false")).collect())
+
+
 def test_toxicity_sample_is_bounded(spark):
     rows = [(1, prose(8, i), "en", "s", 0) for i in range(3000)] + [(2, "same text", "en", "s", 0)] * 500 + [(3, None, "en", "s", 0)]
     lab = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 1, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
