@@ -38,11 +38,11 @@ def release(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the DataFrame that rereads it; what the plans before it held is released."""
+    """Write ``df`` once and return the DataFrame that rereads it; what plans before it held is released first, so that shuffle files don't add up."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     release(spark)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
